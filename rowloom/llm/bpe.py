@@ -26,15 +26,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^\s{l}{n}]+|\s+(?!\S)|\s+"
-#: Pieces kept in a worker's table; it starts anew beyond that.
-TABLE_PIECES = 200_000
+#: Texts of characters below this one take a pattern whose classes are spelled out, which the standard library matches faster.
+LATIN_END = 0x250
+#: Pieces in each of the two generations of a worker's table.
+TABLE_PIECES = 150_000
 
 
 @lru_cache(maxsize=1)
 def _piece_patterns():
-    """The pattern for nearly all texts, the characters it may judge otherwise than the tokenizers library, and a pattern for texts that hold such."""
+    """Findall of the pattern for Latin texts, a search for others, findall of the general pattern, a search for characters newer than the tokenizers library knows, and findall of the pattern for texts that hold such."""
+    import re
+
     import regex
 
+    def spelled(kind: str) -> str:
+        one = regex.compile(kind)
+        return "".join(re.escape(chr(c)) for c in range(LATIN_END) if one.fullmatch(chr(c)))
+
+    l, n, s = spelled(r"\p{L}"), spelled(r"\p{N}"), spelled(r"\s")
+    latin = re.compile(rf" ?[{l}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{n}]+| ?[^{s}{l}{n}]+|[{s}]+(?![^{s}])|[{s}]+").findall
+    beyond = re.compile(f"[^\0-{chr(LATIN_END - 1)}]").search
+
     letters, numbers, odd = regex.compile(r"\p{L}"), regex.compile(r"\p{N}"), []
     for point in range(0x300, 0x110000):
         if unicodedata.category(c := chr(point)) == "Cn" and (letters.match(c) or numbers.match(c)):
@@ -48,9 +60,9 @@ def _piece_patterns():
     late = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
     plain = regex.compile(PIECES.format(L=r"\p{L}", N=r"\p{N}", l=r"\p{L}", n=r"\p{N}"))
     if not late:
-        return plain, None, plain
+        return latin, beyond, plain.findall, lambda text: None, plain.findall
     known = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[\p{{L}}--[{late}]]+| ?[\p{{N}}--[{late}]]+| ?[[^\s\p{{L}}\p{{N}}]||[{late}]]+|\s+(?!\S)|\s+", regex.V1)
-    return plain, regex.compile(f"[{late}]"), known
+    return latin, beyond, plain.findall, regex.compile(f"[{late}]").search, known.findall
 
 
 def byte_symbols() -> dict[str, int]:
@@ -150,27 +162,15 @@ class Vocabulary:
                 at -= len(sizes[token])
         return out
 
-    def encode(self, text: str, table: dict[str, bytes]) -> bytes:
+    def encode(self, text: str, table: Table) -> bytes:
         """A text's ids as little-endian unsigned 32-bit integers."""
-        plain, late, known = _piece_patterns()
-        pieces = (known if late and late.search(text) else plain).findall
-        special = any(map(text.__contains__, self.special))
-        rest, out = _split_special(text, self.special) if special else [text], []
-        for part in rest:
-            if isinstance(part, int):
-                out.append(np.uint32(part).astype("<u4").tobytes())
-                continue
-            found = pieces(part)
-            try:
-                out += list(map(table.__getitem__, found))
-            except KeyError:
-                for piece in found:
-                    packed = table.get(piece)
-                    if packed is None:
-                        packed = b"".join(map(self.packed.__getitem__, self.encode_piece(piece.encode())))
-                        if len(table) < TABLE_PIECES and len(piece) < 100:
-                            table[piece] = packed
-                    out.append(packed)
+        latin, beyond, plain, late, known = _piece_patterns()
+        pieces = latin if not beyond(text) else known if late(text) else plain
+        if not any(map(text.__contains__, self.special)):
+            return b"".join(map(table.__getitem__, pieces(text)))
+        out = []
+        for part in _split_special(text, self.special):
+            out += [np.uint32(part).astype("<u4").tobytes()] if isinstance(part, int) else map(table.__getitem__, pieces(part))
         return b"".join(out)
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -190,6 +190,26 @@ def _split_special(text: str, special: dict[str, int]) -> list:
     return [special.get(x, x) for x in regex.split("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")", text)]
 
 
+class Table(dict):
+    """Packed ids of pieces. A full table becomes the old one, from which pieces still in use come back."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.old = vocabulary, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        packed = self.old.get(piece)
+        if packed is None:
+            of = self.vocabulary
+            packed = b"".join(map(of.packed.__getitem__, of.encode_piece(piece.encode())))
+            if len(piece) > 100:
+                return packed
+        if len(self) >= TABLE_PIECES:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = packed
+        return packed
+
+
 _loaded: dict[str, Vocabulary] = {}
 
 
@@ -214,15 +234,13 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, keep: tuple[str, ...] =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = load(shipped.value)
-        table: dict[str, bytes] = {}
+        table = Table(vocabulary)
         for batch in batches:
             texts = batch.column(len(keep)).to_pylist()
             step = 256
             for at in range(0, len(texts), step):
                 counts, ids_out, decoded_out = [], [], []
                 for text in texts[at : at + step]:
-                    if len(table) >= TABLE_PIECES:
-                        table.clear()
                     packed = vocabulary.encode(text or "", table)
                     ids = np.frombuffer(packed, "<u4")
                     decoded = vocabulary.decode(ids)
