@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.llm import bpe, simhash, substring
-from rowloom.llm.common import table
+from rowloom.llm import bpe, langid, quality, simhash, substring, suffixtree
+from rowloom.llm.common import id_hash_mod, table
 
 
 def vocabulary_path() -> str:
@@ -16,6 +16,13 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    network = quality.train(docs.select("doc_id", "text").join(labels.where(id_hash_mod(labels["doc_id"], 3) != 1), "doc_id"))
+    return quality.score(docs, network, (id_hash_mod(docs["doc_id"], 3) == 1).alias("held_out"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), window=13, digests=True)
 
@@ -28,8 +35,19 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), distance=2, words=3)
 
 
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return suffixtree.score(docs, id_hash_mod(docs["doc_id"], 5) == 1)
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_hash_mod(docs["doc_id"], 4) == 2
+    return langid.identify(docs, langid.train(docs.where(~held_out)), held_out.alias("held_out"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op4_bpe, op5_simhash)}
+    return {f.__name__: f for f in (op1_quality, op2_substring_dedup, op4_bpe, op5_simhash, op6_suffix_tree, op8_language)}
 
 
 def oracle_sql() -> dict[str, str]:
