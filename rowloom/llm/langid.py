@@ -71,6 +71,7 @@ def identify(docs: DataFrame, trees: dict[str, Tree], *more: Column) -> DataFram
     shipped = docs.sparkSession.sparkContext.broadcast([trees[x] for x in langs])
     frame = docs.select("doc_id", *more, docs["text"].alias("__text"))
     n = len(frame.columns) - 1
+    names = [*frame.columns[:n], "lang_pred", "score"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = _Lengths(shipped.value)
@@ -99,7 +100,7 @@ def identify(docs: DataFrame, trees: dict[str, Tree], *more: Column) -> DataFram
                     if words and any(map(str.isalpha, texts[k])):
                         winner = int(np.argmax(total))
                         best[k], share[k] = langs[winner], 1 / np.exp(total - total[winner]).sum()
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(best), pa.array(share)], names=[*frame.columns[:n], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(best), pa.array(share)], names=names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:n])
     return frame.mapInArrow(work, f"{fields}, lang_pred string, score double")

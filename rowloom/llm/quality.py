@@ -125,12 +125,13 @@ def score(docs: DataFrame, network: Network, *more: Column) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(network)
     frame = docs.select("doc_id", *more, text_bytes(docs["text"]).alias("__text"))
     n = len(frame.columns) - 1
+    names = [*frame.columns[:n], "score", "predicted"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shipped.value
         for batch in batches:
             scores = np.array([net.score(t.as_py()) for t in batch.column(n)], float)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[*frame.columns[:n], "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:n])
     return frame.mapInArrow(work, f"{fields}, score double, predicted int")
