@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rowloom.llm import bpe, langid, quality, simhash, substring, suffixtree
+from rowloom.llm import bpe, decontaminate, langid, merkle, quality, simhash, substring, suffixtree
 from rowloom.llm.common import id_hash_mod, table
 
 
@@ -40,14 +41,24 @@ def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixtree.score(docs, id_hash_mod(docs["doc_id"], 5) == 1)
 
 
+def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.compared(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_hash_mod(docs["doc_id"], 4) == 2
     return langid.identify(docs, langid.train(docs.where(~held_out)), held_out.alias("held_out"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, share=20)
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_substring_dedup, op4_bpe, op5_simhash, op6_suffix_tree, op8_language)}
+    return {f.__name__: f for f in (op1_quality, op2_substring_dedup, op4_bpe, op5_simhash, op6_suffix_tree, op7_merkle, op8_language, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
