@@ -111,11 +111,16 @@ class Network:
             np.add.at(grads[0][k], (data[at + k], np.arange(FILTERS)[None, :]), d_halves)
 
 
-def train(labelled: DataFrame, per_class: int = 700) -> Network:
-    """labelled: (doc_id, text, quality). At most per_class texts of each class are used; rows of null or other labels are not. Without both classes every score is 0.5."""
-    pick = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id", "text"), "doc_id")
-    rows = labelled.where("quality in (0, 1)").select("doc_id", text_bytes(F.col("text")).alias("text"), F.col("quality").cast("int").alias("quality"))
-    rows = rows.withColumn("k", F.row_number().over(pick)).where(F.col("k") <= per_class).select("text", "quality").collect()
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 700) -> Network:
+    """labels: (doc_id, quality). A hash picks at most per_class labels of each class; their texts are used.
+
+    Rows of null ids, of null or other labels are not. Without texts of both classes every score is 0.5. The picked labels
+    are at most 2 * per_class rows, and so are broadcast.
+    """
+    pick = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
+    known = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
+    known = known.withColumn("k", F.row_number().over(pick)).where(F.col("k") <= per_class).drop("k")
+    rows = docs.select("doc_id", text_bytes(docs["text"]).alias("text")).join(F.broadcast(known), "doc_id").select("text", "quality").collect()
     rows.sort(key=lambda r: (bytes(r["text"]), r["quality"]))
     return Network().fit([bytes(r["text"]) for r in rows], [r["quality"] for r in rows])
 

@@ -20,7 +20,7 @@ def vocabulary_path() -> str:
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    network = quality.train(docs.select("doc_id", "text").join(labels.where(id_hash_mod(labels["doc_id"], 3) != 1), "doc_id"))
+    network = quality.train(docs, labels.where(id_hash_mod(labels["doc_id"], 3) != 1))
     return quality.score(docs, network, (id_hash_mod(docs["doc_id"], 3) == 1).alias("held_out"))
 
 
