@@ -8,17 +8,20 @@ distribution from that of the context one byte shorter, times its count, is wort
 symbols. Distributions are smoothed with those of shorter states, and a symbol is scored in the longest state that ends
 before it. A text's score is the sum over its tokens.
 
-Counts: each task sums up what its rows hold before anything moves; word counts are then joined back to blocks of
-documents, one row for each distinct word of a block, and block and counts meet in one task. A block is a hash class of
-rows of bounded expected size; a frequent word has one row a block. The tree has at most `most_states` states, those of
+Counts: blocks of documents are ranges of doc_id with about equally many rows, so that tasks over tables in that order sum
+up nearly whole blocks before anything moves. A word's counts meet in one task, at most one row from each block and task
+however frequent the word is, and totals go back to those blocks whose own count is less. Block and totals meet in one
+task. The tree has at most `most_states` states, those of
 the greatest gain, which bounds what the driver gathers and sends to the workers; counts are of all training texts.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +30,9 @@ from rowloom.llm.bytetree import DEPTH, END, START, STOP, Scorer, Tree, counts_o
 from rowloom.llm.common import parts_for, stored, text_bytes
 
 #: The first symbols of a word whose contexts reach into the word before, and how many bytes of it.
-BOUND, TAIL = 3, 3
+BOUND, TAIL = 2, 3
 #: Tokens that are worked on at a time.
-TOKENS = 1_000_000
+TOKENS = 1_500_000
 #: Block of rows that count boundaries between words.
 BOUNDARY = -1
 LN10 = float(np.log(10))
@@ -83,37 +86,40 @@ def groups_of(texts: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, list[lis
         yield at, held
 
 
-def word_counts(blocks: DataFrame) -> DataFrame:
+def block_of(ids: np.ndarray, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The block of each id; rows whose id is null (NaN) are spread by a hash."""
+    return np.where(np.isnan(ids), hashes % (len(bounds) + 1), np.searchsorted(bounds, ids, side="right"))
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
     """(block, word, n): n is the word's count in the block's training rows, 0 if only others have it. Rows of block BOUNDARY count boundaries between training words, their context and symbols in one. The same pair may come more than once.
 
-    blocks: (block, held_out, t).
+    rows: (block, held_out, t).
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(block: int, words: list[bytes], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def out(blocks: np.ndarray, words: list[bytes], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
             for at in range(0, len(words), 100_000):
-                part = pa.array(words[at : at + 100_000], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int64)), part, pa.array(counts[at : at + 100_000].astype(np.int64))], names=["block", "word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(blocks[at : at + 100_000].astype(np.int64)), pa.array(words[at : at + 100_000], pa.binary()), pa.array(counts[at : at + 100_000].astype(np.int64))], names=["block", "word", "n"])
 
         for batch in batches:
-            block_of, out_of = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            of_row, held_out = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for at, lists in groups_of(batch.column(2)):
                 numbers = Numbers()
                 ids = numbers.of([w for x in lists for w in x])
                 sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-                block = np.repeat(block_of[at : at + len(lists)], sizes)
-                learn = np.repeat(~out_of[at : at + len(lists)].astype(bool), sizes)
-                for b in np.unique(block):
-                    own = block == b
-                    counts = np.bincount(ids[own & learn], minlength=len(numbers.words))
-                    there = np.flatnonzero(np.bincount(ids[own], minlength=len(numbers.words)))
-                    yield from rows(int(b), [numbers.words[k] for k in there.tolist()], counts[there])
+                low = of_row[at : at + len(lists)].min()
+                codes = np.repeat(of_row[at : at + len(lists)] - low, sizes) * len(numbers.words) + ids
+                learn = np.repeat(~held_out[at : at + len(lists)], sizes)
+                there, inverse = np.unique(codes, return_inverse=True)
+                counts = np.bincount(inverse, learn, len(there))
+                yield from out(there // len(numbers.words) + low, [numbers.words[k] for k in (there % len(numbers.words)).tolist()], counts)
                 which, contexts, strings = numbers.boundaries(ids, np.cumsum(sizes) - sizes)
                 counts = np.bincount(which[learn], minlength=len(contexts))
                 there = np.flatnonzero(counts)
-                yield from rows(BOUNDARY, [contexts[k] + strings[k] for k in there.tolist()], counts[there])
+                yield from out(np.full(len(there), BOUNDARY), [contexts[k] + strings[k] for k in there.tolist()], counts[there])
 
-    return blocks.select("block", "held_out", "t").mapInArrow(work, "block long, word binary, n long")
+    return rows.select("block", "held_out", "t").mapInArrow(work, "block long, word binary, n long")
 
 
 def word_item(word: bytes) -> tuple[bytes, bytes]:
@@ -177,37 +183,49 @@ def fit(vocabulary: DataFrame, depth: int = DEPTH, most_states: int = 100_000, p
     return Tree.suffix(rows["key"].to_numpy(), rows["n"].to_numpy(), depth, weight)
 
 
-def score(docs: DataFrame, held_out: Column, block_mb: float = 3.0, **options) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, block_mb: float = 5.0, **options) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
     held_out: whether a row is kept from training. Null and empty texts are one end token. base_score is the add-half
     unigram score of the tokens. If nothing is left to train on, N and V are 0 and all symbols are alike.
     """
+    spark = docs.sparkSession
     n_blocks = parts_for(docs.select("doc_id", "text"), block_mb)
-    rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), text_bytes(docs["text"]).alias("t"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "t"), F.lit(n_blocks)))
-    blocks = rows.repartition(n_blocks, "block")
-    words = stored(word_counts(blocks), "words")
-    counted = words.groupBy((F.col("block") == BOUNDARY).alias("boundary"), "word").agg(F.sum("n").alias("n")).where("n > 0")
-    vocabulary = stored(counted, "vocabulary")
+    # at most n_blocks numbers; where they fall affects sizes of blocks, not results
+    bounds = docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [k / n_blocks for k in range(1, n_blocks)], 0.1 / n_blocks)
+    edges = np.unique(np.array(bounds, float))
+
+    @F.pandas_udf("long")
+    def block(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(block_of(ids.to_numpy(float), hashes.to_numpy(), edges))
+
+    rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), text_bytes(docs["text"]).alias("t"), block(F.col("doc_id").cast("double"), F.crc32(text_bytes(docs["text"]))).alias("block"))
+    of_block = F.when(F.col("block") != BOUNDARY, F.struct("block", "n"))
+    counted = word_counts(rows).groupBy((F.col("block") == BOUNDARY).alias("boundary"), "word").agg(F.sum("n").alias("n"), F.collect_list(of_block).alias("at"))
+    vocabulary = stored(counted.where("n > 0"), "vocabulary")
     known_words = vocabulary.where("not boundary")
     sums = known_words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).head()
     total, kinds = int(sums["n"] or 0), int(sums["v"])
-    shipped = docs.sparkSession.sparkContext.broadcast(fit(vocabulary, **options))
-    found = words.where(F.col("block") != BOUNDARY).select("block", "word").join(known_words, "word").select("block", "word", "n").repartition(n_blocks, "block")
+    shipped = spark.sparkContext.broadcast(fit(vocabulary, **options))
+    found = known_words.select("word", "n", F.explode("at").alias("a")).where("a.n < n").select("a.block", "word", "n")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         scorer = Scorer([shipped.value])
         known = dict(zip(right["word"].to_pylist(), right["n"].to_pylist(), strict=True))
         room = np.log10(total + 0.5 * (kinds + 1))
+        # words that only this block has do not come back: their count is the block's own
+        own: Counter = Counter()
+        for text, out in zip(left["t"], left["held_out"], strict=True):
+            if not out.as_py():
+                own.update(tokens_of(text.as_py()))
         numbers = Numbers()
         base, model, seen = np.zeros(0), np.zeros(0), np.zeros(0, bool)
         columns: list[np.ndarray] = []
         for _, lists in groups_of(left["t"]):
             ids = numbers.of([w for x in lists for w in x])
             new = numbers.words[len(base) :]
-            counts = np.array([known.get(w, 0) for w in new], float)
+            counts = np.array([known.get(w, own.get(w, 0)) for w in new], float)
             items = [word_item(w) for w in new]
             base = np.concatenate([base, np.log10(counts + 0.5) - room])
             model = np.concatenate([model, scorer.score([x[0] for x in items], [x[1] for x in items])[:, 0]])
@@ -228,4 +246,4 @@ def score(docs: DataFrame, held_out: Column, block_mb: float = 3.0, **options) -
             return pa.table([left["doc_id"], left["held_out"], *(pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
         return work(left, right if len(right) else empty)
 
-    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(both, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(both, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
