@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import bpe, decontaminate, langid, merkle, quality, simhash, substring, suffixtree
+from rowloom.llm import bpe, chat, decontaminate, langid, merkle, quality, secrets, simhash, substring, suffixtree
 from rowloom.llm.common import id_hash_mod, table
 
 
@@ -28,6 +28,16 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), window=13, digests=True)
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    scripts = chat.transcripts(turns)
+    held_out = id_hash_mod(scripts["conv_id"], 3) == 1
+    model = chat.train(scripts.where(~held_out))
+    found = chat.parse(scripts, model, ("conv_id", "part", "roles"))
+    right = F.transform("turns", lambda t: t["role"]) == F.col("roles")
+    return found.select("conv_id", "part", F.coalesce(id_hash_mod(F.col("conv_id"), 3) == 1, F.lit(False)).alias("held_out"), F.size("roles").cast("long").alias("n_turns"), F.size("turns").cast("long").alias("n_found"), right.alias("right"), F.sha2(F.col("chat").cast("binary"), 256).alias("chat_sha256"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary_path(), digests=True)
 
@@ -57,8 +67,15 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.train(secrets.labelled_findings(spark)), docs["source"])
+    kept = F.filter("findings", lambda x: x["score"] >= secrets.THRESHOLD)
+    return found.select("doc_id", F.size("findings").cast("long").alias("n_candidates"), F.size(kept).cast("long").alias("n_secrets"), F.sha2(F.array_join(F.transform(kept, lambda x: x["value"]), "\n").cast("binary"), 256).alias("secrets_sha256"), F.sha2(F.col("redacted").cast("binary"), 256).alias("redacted_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_substring_dedup, op4_bpe, op5_simhash, op6_suffix_tree, op7_merkle, op8_language, op9_decontamination)}
+    return {f.__name__: f for f in (op1_quality, op2_substring_dedup, op3_chat, op4_bpe, op5_simhash, op6_suffix_tree, op7_merkle, op8_language, op9_decontamination, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
