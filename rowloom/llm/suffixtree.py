@@ -17,7 +17,6 @@ the greatest gain, which bounds what the driver gathers and sends to the workers
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ from rowloom.llm.common import parts_for, stored, text_bytes
 #: The first symbols of a word whose contexts reach into the word before, and how many bytes of it.
 BOUND, TAIL = 2, 3
 #: Tokens that are worked on at a time.
-TOKENS = 1_500_000
+TOKENS = 500_000
 #: Block of rows that count boundaries between words.
 BOUNDARY = -1
 LN10 = float(np.log(10))
@@ -183,7 +182,7 @@ def fit(vocabulary: DataFrame, depth: int = DEPTH, most_states: int = 100_000, p
     return Tree.suffix(rows["key"].to_numpy(), rows["n"].to_numpy(), depth, weight)
 
 
-def score(docs: DataFrame, held_out: Column, block_mb: float = 5.0, **options) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, block_mb: float = 2.5, **options) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
     held_out: whether a row is kept from training. Null and empty texts are one end token. base_score is the add-half
@@ -211,32 +210,29 @@ def score(docs: DataFrame, held_out: Column, block_mb: float = 5.0, **options) -
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        scorer = Scorer([shipped.value])
-        known = dict(zip(right["word"].to_pylist(), right["n"].to_pylist(), strict=True))
-        room = np.log10(total + 0.5 * (kinds + 1))
-        # words that only this block has do not come back: their count is the block's own
-        own: Counter = Counter()
-        for text, out in zip(left["t"], left["held_out"], strict=True):
-            if not out.as_py():
-                own.update(tokens_of(text.as_py()))
-        numbers = Numbers()
-        base, model, seen = np.zeros(0), np.zeros(0), np.zeros(0, bool)
-        columns: list[np.ndarray] = []
+        scorer = Scorer([shipped.value], most=300_000)
+        numbers, ids, sizes = Numbers(), [], []
         for _, lists in groups_of(left["t"]):
-            ids = numbers.of([w for x in lists for w in x])
-            new = numbers.words[len(base) :]
-            counts = np.array([known.get(w, own.get(w, 0)) for w in new], float)
-            items = [word_item(w) for w in new]
-            base = np.concatenate([base, np.log10(counts + 0.5) - room])
-            model = np.concatenate([model, scorer.score([x[0] for x in items], [x[1] for x in items])[:, 0]])
-            seen = np.concatenate([seen, counts > 0])
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            firsts = np.cumsum(sizes) - sizes
-            which, before, symbols = numbers.boundaries(ids, firsts)
-            token = (model[ids] + scorer.score(before, symbols)[:, 0][which]) / LN10
-            columns.append(np.stack([sizes, np.add.reduceat(seen[ids].astype(np.int64), firsts), np.full(len(lists), total), np.add.reduceat(base[ids], firsts), np.add.reduceat(token, firsts)]))
-        out = np.concatenate(columns, axis=1)
-        arrays = [pa.array(out[k].astype(np.int64)) if k < 3 else pa.array(out[k]) for k in range(5)]
+            ids.append(numbers.of([w for x in lists for w in x]).astype(np.int32))
+            sizes += map(len, lists)
+        tokens, sizes = np.concatenate(ids), np.array(sizes, np.int64)
+        firsts = np.cumsum(sizes) - sizes
+        # words that only this block has do not come back: their count is the block's own
+        learn = np.repeat(~left["held_out"].to_numpy().astype(bool), sizes)
+        counts = np.bincount(tokens[learn], minlength=len(numbers.words)).astype(float)
+        for words, n in zip(right["word"].iterchunks(), right["n"].iterchunks(), strict=True):
+            for w, c in zip(words.to_pylist(), n.to_pylist(), strict=True):
+                if (at := numbers.known.get(w)) is not None:
+                    counts[at] = c
+        base = np.log10(counts + 0.5) - np.log10(total + 0.5 * (kinds + 1))
+        model = np.zeros(len(counts))
+        for low in range(0, len(counts), 20_000):
+            items = [word_item(w) for w in numbers.words[low : low + 20_000]]
+            model[low : low + len(items)] = scorer.score([x[0] for x in items], [x[1] for x in items])[:, 0]
+        which, before, symbols = numbers.boundaries(tokens, firsts)
+        token = (model[tokens] + scorer.score(before, symbols)[:, 0][which]) / LN10
+        sums = [np.add.reduceat(x, firsts) for x in ((counts > 0)[tokens].astype(np.int64), base[tokens], token)]
+        arrays = [pa.array(sizes), pa.array(sums[0]), pa.array(np.full(len(sizes), total)), pa.array(sums[1]), pa.array(sums[2])]
         return pa.table([left["doc_id"], left["held_out"], *arrays], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     empty = pa.table([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.int64())], names=["block", "word", "n"])
