@@ -24,15 +24,15 @@ from pyspark.sql import functions as F
 
 from rowloom.llm.common import stored
 
-#: Before lower-casing, that is with A-Z among the words.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What parts words before lower-casing, that is with A-Z among the words.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 200_000
 
 
 def words(text: Column) -> Column:
     """The words of a text, not yet lower-cased."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN), "")
 
 
 def lowered(word: Column) -> Column:
