@@ -50,7 +50,7 @@ def sketch(text: Column) -> Column:
     """The smallest 32-bit hashes of a text's segments, in order."""
     text = F.coalesce(text, F.lit(""))
     segments = F.when(F.char_length(text) <= SHORT, F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(SEGMENT), F.lit(0)))
-    hashes = F.transform(segments, lambda s: F.xxhash64(s).bitwiseAND(F.lit(0xFFFFFFFF)))
+    hashes = F.transform(segments, lambda s: F.hash(s))
     return F.slice(F.array_sort(F.array_distinct(hashes)), 1, SKETCH)
 
 
@@ -60,13 +60,13 @@ def print_of(text: Column) -> Column:
 
 
 def written(mark: Column) -> Column:
-    return F.concat(mark["root"], F.lit(":"), F.array_join(F.transform(mark["sketch"], lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), ""))
+    return F.concat(mark["root"], F.lit(":"), F.array_join(F.transform(mark["sketch"], lambda x: F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), ""))
 
 
 def read(fingerprint: Column) -> Column:
     """struct(root, sketch) of a written fingerprint."""
     digits = F.regexp_extract_all(F.substring_index(fingerprint, ":", -1), F.lit("[0-9a-f]{8}"), F.lit(0))
-    return F.struct(F.substring_index(fingerprint, ":", 1).alias("root"), F.transform(digits, lambda x: F.conv(x, 16, 10).cast("long")).alias("sketch"))
+    return F.struct(F.substring_index(fingerprint, ":", 1).alias("root"), F.transform(digits, lambda x: F.conv(x, 16, 10).cast("long").bitwiseXOR(F.lit(1 << 31)) - F.lit(1 << 31)).cast("array<int>").alias("sketch"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -118,27 +118,26 @@ def compared(docs: DataFrame) -> DataFrame:
     document's by ascending id (after the last the first). A row without id has no next document: its last quarter is cut
     and near_next is 0. Rows that share an id have the same next one, and as such the one of them whose text is least stands.
     """
-    text = F.coalesce(docs["text"], F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.char_length(text).cast("long").alias("n"), print_of(text).alias("mark"))
-    sizes = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("v")).agg(F.max(F.char_length(text)).alias("n"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    known = rows.where("doc_id is not null")
+    sizes = known.groupBy(F.col("doc_id").alias("v")).agg(F.max(F.char_length("text")).alias("n"))
     ordered = sizes.join(successors(sizes.select("v")), "v")
     first = ordered.agg(F.min("v")).head()[0]
     wanted = ordered.select(F.coalesce("next", F.lit(first).cast("long")).alias("doc_id"), F.col("v").alias("asker"), F.floor(F.col("n") / 4).cast("int").alias("q"))
-    given = rows.join(wanted, "doc_id").select("asker", F.struct(F.expr("substring(text, 1, q)").alias("head"), "mark").alias("given"))
+    # both joins need the same rows by the same key, so texts are shuffled once
+    given = known.join(wanted, "doc_id").select("asker", F.struct(F.expr("substring(text, 1, q)").alias("head"), print_of(F.col("text")).alias("mark")).alias("given"))
     given = given.groupBy("asker").agg(F.min("given").alias("given"))
-    q = F.floor(F.col("n") / 4).cast("int")
-    both = rows.join(given, rows["doc_id"] == given["asker"], "left")
-    both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n") - q).cast("int")), F.coalesce(F.substring(F.col("given.head"), F.lit(1), q), F.lit(""))))
-    answer = let(
-        print_of(F.col("edited")),
-        lambda e: F.struct(written(e).alias("fingerprint"), likeness(F.col("mark"), e).alias("near")),
-    )
-    return both.withColumn("answer", answer).select(
-        "doc_id",
-        F.col("n").alias("n_chars"),
-        "edited",
-        written(F.col("mark")).alias("fingerprint"),
-        F.col("answer.fingerprint").alias("edited_fingerprint"),
-        F.col("answer.near").alias("near_edited"),
-        F.when(F.col("asker").isNull(), F.lit(0.0)).otherwise(likeness(F.col("mark"), F.col("given.mark"))).alias("near_next"),
-    )
+    alone = rows.where("doc_id is null").withColumns({"asker": F.lit(None).cast("long"), "given": F.lit(None).cast(given.schema["given"].dataType)})
+    both = known.join(given, known["doc_id"] == given["asker"], "left").unionByName(alone)
+    n = F.char_length("text")
+    q = F.floor(n / 4).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - q), F.coalesce(F.substring(F.col("given.head"), F.lit(1), q), F.lit("")))
+    both = both.withColumn("edited", edited)
+
+    def answer(marks: Column) -> Column:
+        own, other = marks["own"], marks["edited"]
+        next_to = F.when(F.col("asker").isNull(), F.lit(0.0)).otherwise(likeness(own, F.col("given.mark")))
+        return F.struct(written(own).alias("fingerprint"), written(other).alias("edited_fingerprint"), likeness(own, other).alias("near_edited"), next_to.alias("near_next"))
+
+    marks = F.struct(print_of(F.col("text")).alias("own"), print_of(F.col("edited")).alias("edited"))
+    return both.select("doc_id", n.cast("long").alias("n_chars"), "edited", let(marks, answer).alias("a")).select("doc_id", "n_chars", "edited", "a.*")
