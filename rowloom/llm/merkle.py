@@ -20,6 +20,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowloom.llm.common import stored
+
 SECTION, SKETCH, SHORT = 4, 64, 64
 PIECE = r"(?s).{1,4}"
 SEGMENT = r"[^\s]+(?:[^\S\n]+[^\s]+)?"
@@ -120,8 +122,9 @@ def compared(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     known = rows.where("doc_id is not null")
-    sizes = known.groupBy(F.col("doc_id").alias("v")).agg(F.max(F.char_length("text")).alias("n"))
-    ordered = sizes.join(successors(sizes.select("v")), "v")
+    # ids and lengths are read many times over, texts need not be
+    sizes = stored(known.groupBy(F.col("doc_id").alias("v")).agg(F.max(F.char_length("text")).alias("n")), "sizes")
+    ordered = stored(sizes.join(successors(sizes.select("v")), "v"), "ordered")
     first = ordered.agg(F.min("v")).head()[0]
     wanted = ordered.select(F.coalesce("next", F.lit(first).cast("long")).alias("doc_id"), F.col("v").alias("asker"), F.floor(F.col("n") / 4).cast("int").alias("q"))
     # both joins need the same rows by the same key, so texts are shuffled once
