@@ -25,11 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from rowloom.llm.common import map_arrow
+
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^\s{l}{n}]+|\s+(?!\S)|\s+"
 #: Texts of characters below this one take a pattern whose classes are spelled out, which the standard library matches faster.
 LATIN_END = 0x250
 #: Pieces in each of the two generations of a worker's table.
-TABLE_PIECES = 150_000
+TABLE_PIECES = 100_000
+#: Pairs of tokens in the compatibility table; it starts anew beyond that.
+TABLE_PAIRS = 300_000
 
 
 @lru_cache(maxsize=1)
@@ -112,6 +116,8 @@ class Vocabulary:
         key = left * 65536 + right
         known = self.compatible.get(key)
         if known is None:
+            if len(self.compatible) >= TABLE_PAIRS:
+                self.compatible.clear()
             known = self.compatible[key] = self._fits(left, right)
         return known
 
@@ -236,11 +242,10 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, keep: tuple[str, ...] =
         vocabulary = load(shipped.value)
         table = Table(vocabulary)
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
             step = 256
-            for at in range(0, len(texts), step):
+            for at in range(0, batch.num_rows, step):
                 counts, ids_out, decoded_out = [], [], []
-                for text in texts[at : at + step]:
+                for text in batch.column(len(keep)).slice(at, step).to_pylist():
                     packed = vocabulary.encode(text or "", table)
                     ids = np.frombuffer(packed, "<u4")
                     decoded = vocabulary.decode(ids)
@@ -253,4 +258,4 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, keep: tuple[str, ...] =
                     names=[f.name for f in fields],
                 )
 
-    return frame.mapInArrow(work, T.StructType(fields))
+    return map_arrow(frame, work, T.StructType(fields))

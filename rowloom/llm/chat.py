@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowloom.llm.common import map_arrow
+
 ROLES = ("system", "user", "assistant")
 #: How speakers are marked, in the order of ROLES.
 STYLES = (
@@ -174,4 +176,4 @@ def parse(scripts: DataFrame, model: Model, keep: tuple[str, ...], text: Column
             turns = pa.array([[{"role": r, "text": x} for r, x in f] for f in found], kind)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), turns, pa.array([canonical(f) for f in found], pa.string())], names=names)
 
-    return frame.mapInArrow(work, schema)
+    return map_arrow(frame, work, schema)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.llm.bytetree import START, STOP, Scorer, Tree, counts_of
+from rowloom.llm.common import map_arrow
 
 #: Words whose code lengths a worker keeps; it starts anew beyond that.
 KEPT_WORDS = 300_000
@@ -103,4 +104,4 @@ def identify(docs: DataFrame, trees: dict[str, Tree], *more: Column) -> DataFram
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(best), pa.array(share)], names=names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:n])
-    return frame.mapInArrow(work, f"{fields}, lang_pred string, score double")
+    return map_arrow(frame, work, f"{fields}, lang_pred string, score double")

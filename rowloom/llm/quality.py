@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import text_bytes
+from rowloom.llm.common import map_arrow, text_bytes
 
 WIDTH, STRIDE, HALF, FILTERS = 8, 2, 256, 16
 #: Bytes that are convolved at a time.
@@ -139,4 +139,4 @@ def score(docs: DataFrame, network: Network, *more: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:n])
-    return frame.mapInArrow(work, f"{fields}, score double, predicted int")
+    return map_arrow(frame, work, f"{fields}, score double, predicted int")

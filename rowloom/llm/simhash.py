@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import stored, text_bytes
+from rowloom.llm.common import map_arrow, stored, text_bytes
 from rowloom.llm.graph import components
 
 PARTS, WIDTH = 4, 16
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_bytes(docs["text"]).alias("t")).mapInArrow(work, f"doc_id {kind}, fp long")
+    return map_arrow(docs.select("doc_id", text_bytes(docs["text"]).alias("t")), work, f"doc_id {kind}, fp long")
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -156,7 +156,7 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
             n += len(bits)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(4097)), pa.array(np.append(total.ravel(), n))], names=["k", "n"])
 
-    sums = distinct.select("fp").mapInArrow(cooccur, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()  # 4,097 rows
+    sums = map_arrow(distinct.select("fp"), cooccur, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()  # 4,097 rows
     flat = np.zeros(4097, np.int64)
     flat[sums["k"]] = sums["n"]
     groups = bit_groups(flat[:4096].reshape(64, 64), int(flat[4096]))
@@ -170,7 +170,7 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
         keys = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total.ravel()[keys])], names=["k", "n"])
 
-    sums = distinct.select("fp").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()  # at most 262,144 rows
+    sums = map_arrow(distinct.select("fp"), count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()  # at most 262,144 rows
     histogram = np.zeros(PARTS << WIDTH, np.int64)
     histogram[sums["k"]] = sums["n"]
     shipped = spark.sparkContext.broadcast(histogram.reshape(PARTS, -1).astype(np.int32))
@@ -219,7 +219,7 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
                     [pa.array(role[k : k + (1 << 17)]), pa.array(key[k : k + (1 << 17)].astype(np.int64)), pa.array(fps[take].view(np.int64)), reps.take(pa.array(take))], names=["role", "key", "fp", "rep"]
                 )
 
-    dealt = stored(distinct.select("fp", "rep").mapInArrow(deal, f"role byte, key long, fp long, rep {kind}"), "probes")
+    dealt = stored(map_arrow(distinct.select("fp", "rep"), deal, f"role byte, key long, fp long, rep {kind}"), "probes")
     held = dealt.where("role = 0").select("key", F.col("fp").alias("x"), F.col("rep").alias("b"))
     probes = dealt.where("role = 1").select("key", "fp", F.col("rep").alias("a"))
     near = held.join(probes, "key").where((F.col("x") != F.col("fp")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("fp"))) <= distance)).select("a", "b")

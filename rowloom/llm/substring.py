@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import parts_for, text_bytes
+from rowloom.llm.common import map_arrow, parts_for, text_bytes
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -215,8 +215,8 @@ def repeated_spans(docs: DataFrame, window: int = 13, mini: int = 4, bucket_mb:
                 yield spans(rows[at : at + 100_000])
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text_bytes(docs["text"]).alias("t"))
-    packed = rows.mapInArrow(split, "bucket int, blob binary, settled boolean")
-    return packed.repartition(max(12, buckets // 4), "bucket").mapInArrow(gather, "doc_id long, first int, n int")
+    packed = map_arrow(rows, split, "bucket int, blob binary, settled boolean")
+    return map_arrow(packed.repartition(max(12, buckets // 4), "bucket"), gather, "doc_id long, first int, n int")
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, digests: bool = False) -> DataFrame:
@@ -252,4 +252,4 @@ def remove_repeats(docs: DataFrame, window: int = 13, digests: bool = False) ->
                 kept.append(hashlib.sha256(text).hexdigest() if digests else text.decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", name])
 
-    return rows.mapInArrow(apply, f"doc_id long, n_words long, n_removed long, {name} string")
+    return map_arrow(rows, apply, f"doc_id long, n_words long, n_removed long, {name} string")

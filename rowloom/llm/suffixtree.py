@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm.bytetree import DEPTH, END, START, STOP, Scorer, Tree, counts_of
-from rowloom.llm.common import parts_for, stored, text_bytes
+from rowloom.llm.common import map_arrow, parts_for, stored, text_bytes
 
 #: The first symbols of a word whose contexts reach into the word before, and how many bytes of it.
 BOUND, TAIL = 2, 3
@@ -118,7 +118,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
                 there = np.flatnonzero(counts)
                 yield from out(np.full(len(there), BOUNDARY), [contexts[k] + strings[k] for k in there.tolist()], counts[there])
 
-    return rows.select("block", "held_out", "t").mapInArrow(work, "block long, word binary, n long")
+    return map_arrow(rows.select("block", "held_out", "t"), work, "block long, word binary, n long")
 
 
 def word_item(word: bytes) -> tuple[bytes, bytes]:
@@ -158,7 +158,7 @@ def contexts(vocabulary: DataFrame, depth: int) -> DataFrame:
         if size:
             yield merged()
 
-    return vocabulary.select("boundary", "word", "n").mapInArrow(work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return map_arrow(vocabulary.select("boundary", "word", "n"), work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def retained(counts: DataFrame, most_states: int, penalty: float) -> DataFrame:
