@@ -120,7 +120,9 @@ def compared(docs: DataFrame) -> DataFrame:
     document's by ascending id (after the last the first). A row without id has no next document: its last quarter is cut
     and near_next is 0. Rows that share an id have the same next one, and as such the one of them whose text is least stands.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    # a cast of what is long already would keep the two joins' shuffles from being recognised as one
+    own = docs["doc_id"] if docs.schema["doc_id"].dataType.simpleString() == "bigint" else docs["doc_id"].cast("long").alias("doc_id")
+    rows = docs.select(own, F.coalesce(docs["text"], F.lit("")).alias("text"))
     known = rows.where("doc_id is not null")
     # ids and lengths are read many times over, texts need not be
     sizes = stored(known.groupBy(F.col("doc_id").alias("v")).agg(F.max(F.char_length("text")).alias("n")), "sizes")
