@@ -32,8 +32,10 @@ from rowloom.llm.common import map_arrow, parts_for, stored, text_bytes
 BOUND, TAIL = 2, 3
 #: Tokens that are worked on at a time.
 TOKENS = 500_000
-#: Block of rows that count boundaries between words.
-BOUNDARY = -1
+#: Blocks of rows that count boundaries between words, and of rows with a word's total.
+BOUNDARY, TOTAL = -1, -2
+#: Cells of a table of counts that is kept dense.
+DENSE = 4_000_000
 LN10 = float(np.log(10))
 
 
@@ -67,9 +69,18 @@ class Numbers:
         """For each token the number of its boundary, and each boundary's context and symbols; firsts: where texts begin."""
         before = np.concatenate([[0], numbers[:-1]])
         before[firsts] = 0
-        codes, inverse = np.unique(np.array(self.tail_of)[before] * len(self.heads) + np.array(self.head_of)[numbers], return_inverse=True)
+        n = len(self.heads)
+        codes, inverse = distinct(np.array(self.tail_of)[before] * n + np.array(self.head_of)[numbers], len(self.tails) * n)
         tails, heads = list(self.tails), list(self.heads)
-        return inverse, [tails[c] + START for c in (codes // len(heads)).tolist()], [heads[c] for c in (codes % len(heads)).tolist()]
+        return inverse, [tails[c] + START for c in (codes // n).tolist()], [heads[c] for c in (codes % n).tolist()]
+
+
+def distinct(codes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes, which are below limit, and each code's place among them."""
+    if limit > DENSE:
+        return np.unique(codes, return_inverse=True)
+    there = np.bincount(codes, minlength=limit) > 0
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[codes]
 
 
 def groups_of(texts: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
@@ -110,7 +121,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
                 low = of_row[at : at + len(lists)].min()
                 codes = np.repeat(of_row[at : at + len(lists)] - low, sizes) * len(numbers.words) + ids
                 learn = np.repeat(~held_out[at : at + len(lists)], sizes)
-                there, inverse = np.unique(codes, return_inverse=True)
+                there, inverse = distinct(codes, int(of_row[at : at + len(lists)].max() - low + 1) * len(numbers.words))
                 counts = np.bincount(inverse, learn, len(there))
                 yield from out(there // len(numbers.words) + low, [numbers.words[k] for k in (there % len(numbers.words)).tolist()], counts)
                 which, contexts, strings = numbers.boundaries(ids, np.cumsum(sizes) - sizes)
@@ -121,6 +132,36 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return map_arrow(rows.select("block", "held_out", "t"), work, "block long, word binary, n long")
 
 
+def totals(counts: DataFrame, parts: int) -> DataFrame:
+    """(block, word, n) from word_counts: each training word's total with block TOTAL, each boundary's with block BOUNDARY, and a word's total for each block whose own count is less.
+
+    Rows of a word meet in one of `parts` partitions; there is one for each task and block that has the word.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        blocks, ids, counts_ = [], [], []
+        for batch in batches:
+            words = batch.column(1).to_pylist()
+            blocks.append(batch.column(0).to_numpy())
+            counts_.append(batch.column(2).to_numpy())
+            ids.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)))
+        if not ids:
+            return
+        block, number, n = np.concatenate(blocks), np.concatenate(ids), np.concatenate(counts_)
+        words, sums = list(known), np.bincount(number, n, len(known)).astype(np.int64)
+        apart = np.zeros(len(words), bool)
+        apart[number[block == BOUNDARY]] = True
+        there = np.flatnonzero(sums)
+        back = np.flatnonzero((block >= 0) & (n < sums[number]))
+        for of, at in ((np.where(apart[there], BOUNDARY, TOTAL), there), (block[back], number[back])):
+            for low in range(0, len(at), 100_000):
+                part = at[low : low + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(of[low : low + 100_000].astype(np.int64)), pa.array([words[k] for k in part.tolist()], pa.binary()), pa.array(sums[part])], names=["block", "word", "n"])
+
+    return map_arrow(counts.repartition(parts, "word"), work, "block long, word binary, n long")
+
+
 def word_item(word: bytes) -> tuple[bytes, bytes]:
     """A word's context and symbols beyond those that show at its boundary."""
     symbols = symbols_of(word)
@@ -199,18 +240,19 @@ def score(docs: DataFrame, held_out: Column, block_mb: float = 2.5, **options) -
         return pd.Series(block_of(ids.to_numpy(float), hashes.to_numpy(), edges))
 
     rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), text_bytes(docs["text"]).alias("t"), block(F.col("doc_id").cast("double"), F.crc32(text_bytes(docs["text"]))).alias("block"))
-    of_block = F.when(F.col("block") != BOUNDARY, F.struct("block", "n"))
-    counted = word_counts(rows).groupBy((F.col("block") == BOUNDARY).alias("boundary"), "word").agg(F.sum("n").alias("n"), F.collect_list(of_block).alias("at"))
-    vocabulary = stored(counted.where("n > 0"), "vocabulary")
+    settled = stored(totals(word_counts(rows), max(12, n_blocks // 4)), "words")
+    vocabulary = settled.where("block < 0").select((F.col("block") == BOUNDARY).alias("boundary"), "word", "n")
     known_words = vocabulary.where("not boundary")
     sums = known_words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).head()
     total, kinds = int(sums["n"] or 0), int(sums["v"])
     shipped = spark.sparkContext.broadcast(fit(vocabulary, **options))
-    found = known_words.select("word", "n", F.explode("at").alias("a")).where("a.n < n").select("a.block", "word", "n")
+    found = settled.where("block >= 0")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        scorer = Scorer([shipped.value], most=300_000)
+        # a worker keeps one for all its blocks
+        tree = shipped.value
+        scorer = tree.scorer = getattr(tree, "scorer", None) or Scorer([tree])
         numbers, ids, sizes = Numbers(), [], []
         for _, lists in groups_of(left["t"]):
             ids.append(numbers.of([w for x in lists for w in x]).astype(np.int32))
@@ -226,8 +268,8 @@ def score(docs: DataFrame, held_out: Column, block_mb: float = 2.5, **options) -
                     counts[at] = c
         base = np.log10(counts + 0.5) - np.log10(total + 0.5 * (kinds + 1))
         model = np.zeros(len(counts))
-        for low in range(0, len(counts), 20_000):
-            items = [word_item(w) for w in numbers.words[low : low + 20_000]]
+        for low in range(0, len(counts), 50_000):
+            items = [word_item(w) for w in numbers.words[low : low + 50_000]]
             model[low : low + len(items)] = scorer.score([x[0] for x in items], [x[1] for x in items])[:, 0]
         which, before, symbols = numbers.boundaries(tokens, firsts)
         token = (model[tokens] + scorer.score(before, symbols)[:, 0][which]) / LN10
