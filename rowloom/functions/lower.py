@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions import formats
 from rowloom.functions.library import FUNCTIONS, put
-from rowloom.functions.values import Val, arithmetic, as_num, char, choose, compare, missing, num, text, truth
+from rowloom.functions.values import Val, arithmetic, as_num, char, choose, compare, keeps, missing, num, text, truth
 
 
 class Unsupported(ValueError):
@@ -27,6 +27,10 @@ class Lowering:
     def test(self, e: tuple):
         return truth(self.value(e))
 
+    def filter(self, e: tuple):
+        """The condition for a filter: as test, but it may be null where it does not hold."""
+        return keeps(self.value(e))
+
     def _num(self, v: float | None) -> Val:
         return num(v)
 
@@ -50,9 +54,9 @@ class Lowering:
     def _bin(self, op: str, a: tuple, b: tuple) -> Val:
         x, y = self.value(a), self.value(b)
         if op == "and":
-            return Val(truth(x) & truth(y), "bool")
+            return Val(truth(x) & truth(y), "bool", loose=keeps(x) & keeps(y))
         if op == "or":
-            return Val(truth(x) | truth(y), "bool")
+            return Val(truth(x) | truth(y), "bool", loose=keeps(x) | keeps(y))
         if op == "||":
             return Val(F.concat(text(x), text(y)), "char")
         if op == "contains":
@@ -66,19 +70,22 @@ class Lowering:
     def _in(self, x: tuple, items: list[tuple], negated: bool) -> Val:
         v = self.value(x)
         values = [self.value(i) for i in items]
+        loose = None
         if all(i.known for i in values) and v.kind == "char":
             out = F.rtrim(text(v)).isin([str(i.lit).rstrip() for i in values])
         elif all(i.known and i.lit is not None and i.kind == "num" for i in values) and v.kind == "num":
-            out = F.coalesce(v.col.isin([i.lit for i in values]), F.lit(False))
+            loose = v.col.isin([i.lit for i in values])
+            out = F.coalesce(loose, F.lit(False))
         else:
             out = F.lit(False)
             for i in values:
                 out = out | compare("=", v, i).col
-        return Val(~out if negated else out, "bool")
+        return Val(~out if negated else out, "bool", loose=None if negated else loose)
 
     def _between(self, x: tuple, low: tuple, high: tuple) -> Val:
         v = self.value(x)
-        return Val(compare(">=", v, self.value(low)).col & compare("<=", v, self.value(high)).col, "bool")
+        a, b = compare(">=", v, self.value(low)), compare("<=", v, self.value(high))
+        return Val(a.col & b.col, "bool", loose=keeps(a) & keeps(b))
 
     def _missing(self, x: tuple, negated: bool) -> Val:
         out = missing(self.value(x))

@@ -18,6 +18,7 @@ class Val:
     kind: str  # num, char, bool
     lit: object = None
     known: bool = False  # whether lit is the value
+    loose: Column | None = None  # for a condition, one that may be null where it does not hold
 
 
 def num(value: float | None) -> Val:
@@ -62,6 +63,11 @@ def truth(v: Val) -> Column:
     return F.coalesce(v.col, F.lit(0.0)) != 0
 
 
+def keeps(v: Val) -> Column:
+    """A condition for a filter, which drops a row where it is null; written so that Spark can push it to the scan."""
+    return v.loose if v.loose is not None else truth(v)
+
+
 def missing(v: Val) -> Column:
     if v.kind == "char":
         return F.trim(text(v)) == ""
@@ -80,12 +86,16 @@ def compare(op: str, a: Val, b: Val) -> Val:
         return compare({">": "<", ">=": "<="}[op], b, a)
     if op in ("=", "^="):
         same = x.eqNullSafe(y)
-        return Val(same if op == "=" else ~same, "bool")
+        one = next((v for v in (a, b) if v.known and v.lit is not None), None)
+        return Val(same if op == "=" else ~same, "bool", loose=(x == y) if op == "=" and one is not None else None)
     # written so that a comparison with a literal can be pushed to the scan
     if b.known and b.lit is not None:
         return Val(x.isNull() | (x < y if op == "<" else x <= y), "bool")
     if a.known and a.lit is not None:
-        return Val(F.coalesce(x < y if op == "<" else x <= y, F.lit(False)), "bool")
+        plain = x < y if op == "<" else x <= y
+        if a.known:
+            plain = y > F.lit(a.lit) if op == "<" else y >= F.lit(a.lit)
+        return Val(F.coalesce(plain, F.lit(False)), "bool", loose=plain)
     if op == "<":
         return Val(y.isNotNull() & (x.isNull() | (x < y)), "bool")
     return Val(x.isNull() | (y.isNotNull() & (x <= y)), "bool")
@@ -110,8 +120,8 @@ def choose(test: Column, a: Val, b: Val) -> Val:
     return Val(F.when(test, a.col).otherwise(b.col), a.kind)
 
 
-def to_value(column: Column, kind: str) -> Val:
-    """A source column of a Spark type as a number or character value."""
+def to_value(column: Column, kind: str, nan: bool = True) -> Val:
+    """A source column of a Spark type as a number or character value; nan: whether NaN may occur, which then is missing."""
     if kind in ("string",) or kind.startswith(("char", "varchar")):
         return Val(column, "char")
     if kind == "boolean":
@@ -121,7 +131,7 @@ def to_value(column: Column, kind: str) -> Val:
     if kind.startswith("timestamp"):
         return Val(F.unix_micros(column.cast("timestamp")).cast("double") / 1e6 + 315619200.0, "num")
     if kind in ("double", "float"):
-        return Val(F.nanvl(column.cast("double"), F.lit(None).cast("double")), "num")
+        return Val(F.nanvl(column.cast("double"), F.lit(None).cast("double")) if nan else column.cast("double"), "num")
     if kind in ("tinyint", "smallint", "int", "bigint") or kind.startswith("decimal"):
         return Val(column.cast("double"), "num")
     return Val(column, "other")

@@ -401,10 +401,6 @@ class Parser:
             value = c.expression()
             self.end(c)
             return Stmt("add", {"target": target, "value": value})
-        if c.at("-"):
-            value = c.expression() if False else c._sum_from(("num", 0.0)) if hasattr(c, "_sum_from") else ("un", "-", (c.next(), c.expression())[1])
-            self.end(c)
-            return Stmt("add", {"target": target, "value": value})
         # statements without effect here are skipped to their end
         while not c.done():
             c.next()
@@ -582,7 +578,7 @@ class Parser:
         while not c.done():
             names = []
             while c.peek().kind == "name":
-                names += c.variable_list(";") if False else self._one_range(c)
+                names += self._one_range(c)
             value = None
             if not c.done():
                 if c.take("("):
@@ -787,10 +783,8 @@ class Parser:
                     items.append(("named", value))
                 else:
                     fmt = None
-                    if c.peek().kind == "fmt" or c.at("$"):
+                    if not c.take("$") and c.peek().kind == "fmt":
                         fmt = c.next().text
-                        if fmt == "$":
-                            fmt += c.next().text
                     items.append(("value", value, fmt))
         self.end(c)
         return Stmt("put", {"items": items})

@@ -86,13 +86,13 @@ def sort_key(ds: Dataset, name: str) -> Column:
     return F.rtrim(F.coalesce(v.col, F.lit(""))) if v.kind == "char" else v.col
 
 
-def from_frame(df: DataFrame, lower: bool = True) -> Dataset:
-    """A data frame as a dataset; its rows are in the order in which Spark scans them."""
+def from_frame(df: DataFrame, lower: bool = True, nan: bool = True) -> Dataset:
+    """A data frame as a dataset; its rows are in the order in which Spark scans them. Without nan, NaN is not looked for, so that filters reach the scan."""
     columns, formats = [], {}
     for f in df.schema.fields:
         kind = f.dataType.simpleString()
         name = f.name.lower() if lower else f.name
-        columns.append(to_value(df[f"`{f.name}`"], kind).col.alias(name))
+        columns.append(to_value(df[f"`{f.name}`"], kind, nan).col.alias(name))
         if kind in DATE_FORMATS:
             formats[name] = DATE_FORMATS[kind]
     return Dataset(df.select(*columns, F.monotonically_increasing_id().alias("__o0")), [("__o0", True)], formats)

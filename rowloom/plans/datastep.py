@@ -169,12 +169,14 @@ class ColumnStep:
             self.one_row = True
         else:
             s = top[0]
+            if len(top) > 1:
+                raise Unsupported("a second SET")
             if s["point"] or s["key"]:
                 raise Unsupported("direct access")
             parts = [sources.with_options(self.context.dataset(r.name), r, self.context.formats) for r in s["refs"]]
             where = next((x["test"] for x in self.body if x.kind == "where"), None)
             if where is not None:
-                parts = [p.with_df(p.df.where(Lowering(p.val, self.context.formats).test(where))) for p in parts]
+                parts = [p.with_df(p.df.where(Lowering(p.val, self.context.formats).filter(where))) for p in parts]
             flags = [r.flag for r in s["refs"]]
             self.flags = [f for f in flags if f]
             if s.kind == "set":

@@ -240,7 +240,9 @@ class Machine:
                     initial = s["initial"][k] if k < len(s["initial"]) else None
                     if arrays[s["name"]].temporary or initial is not None:
                         self.retained[n] = self._negative(initial)
-        self.computed = [n for n in kinds if n not in self.retained]
+        # what a SET inside the step has read stays until it reads again
+        read = {c for s in walk(step.body) if s.kind == "set" for r in s["refs"] for row in lookups.get(r.name, [])[:1] for c in row}
+        self.computed = [n for n in kinds if n not in self.retained and n not in read]
         self.source_columns: list[str] = []
         top = next((s for s in step.body if s.kind in ("set", "merge", "update")), None)
         self.body = self._block([s for s in step.body if s is not top])
@@ -760,6 +762,10 @@ def run(step: DataStep, context: Context, given: Dataset | None = None) -> tuple
     top = next((s for s in step.body if s.kind in ("set", "merge", "update")), None)
     direct = top is not None and (top["point"] or top["key"])
     nested_only = given is None and (top is None or direct)
+    if top is not None and not nested_only:
+        # the first one is the source; what stands in the body besides is run row by row
+        seen = [s for s in step.body if s.kind in ("set", "merge", "update")]
+        plan.body = [s for s in step.body if s not in seen[1:]]
     if nested_only:
         plan.given = Dataset(context.dataset("__spark").range(1).select(F.lit(1.0).alias("__o0")), [("__o0", True)])
     plan._source()

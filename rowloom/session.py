@@ -40,13 +40,14 @@ class Session:
 
     # datasets
 
-    def register(self, name: str, df: DataFrame) -> Dataset:
-        """A data frame as a dataset; its rows are in scan order."""
-        return self.put(name, from_frame(df))
+    def register(self, name: str, df: DataFrame, nan: bool = True) -> Dataset:
+        """A data frame as a dataset; its rows are in scan order. nan: whether its doubles may be NaN, which counts as missing."""
+        return self.put(name, from_frame(df, nan=nan))
 
-    def parquet(self, folder: str, *names: str) -> Session:
+    def parquet(self, folder: str, *names: str, nan: bool = False) -> Session:
+        """Parquet tables; those with NaN need nan, at the cost of filters that do not reach the scan."""
         for n in names:
-            self.register(n, self.spark.read.parquet(f"{folder}/{n}.parquet"))
+            self.register(n, self.spark.read.parquet(f"{folder}/{n}.parquet"), nan)
         return self
 
     def put(self, name: str, ds: Dataset) -> Dataset:
