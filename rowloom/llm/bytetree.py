@@ -151,8 +151,8 @@ class Scorer:
     def score(self, contexts: list[bytes], strings: list[bytes]) -> np.ndarray:
         """One row for each item, one column for each tree."""
         out = np.zeros((len(contexts), len(self.trees)))
-        for low in range(0, len(contexts), 40_000):
-            n = len(contexts[low : low + 40_000])
+        for low in range(0, len(contexts), 15_000):
+            n = len(contexts[low : low + 15_000])
             buffer, at, room, item = _symbols(contexts[low : low + n], strings[low : low + n])
             keys = buffer[at].astype(np.int64)
             for d in range(1, self.depth + 1):

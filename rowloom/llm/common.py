@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MB = 1 << 20
+#: Sizes from here on are what the planner says when it does not know.
+UNKNOWN = 1 << 50
 BATCH_ROWS = 1000
 
 
@@ -39,11 +41,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def input_bytes(df: DataFrame) -> int:
     """The planner's size estimate of df; it sets numbers of partitions only, never results."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(size, 1 << 50)
+    return min(size, UNKNOWN)
 
 
 def parts_for(df: DataFrame, mb_each: float, least: int = 12, most: int = 200_000) -> int:
-    return int(max(least, min(most, input_bytes(df) / (mb_each * MB))))
+    """How many parts of about mb_each MB df makes; where its size is unknown, four for each shuffle partition."""
+    size = input_bytes(df)
+    if size >= UNKNOWN:
+        return max(least, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return int(max(least, min(most, size / (mb_each * MB))))
 
 
 def id_hash_mod(doc_id: Column, n: int) -> Column:

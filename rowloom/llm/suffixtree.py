@@ -26,12 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm.bytetree import DEPTH, END, START, STOP, Scorer, Tree, counts_of
-from rowloom.llm.common import map_arrow, parts_for, stored, text_bytes
+from rowloom.llm.common import give_back, map_arrow, parts_for, stored, text_bytes
 
 #: The first symbols of a word whose contexts reach into the word before, and how many bytes of it.
 BOUND, TAIL = 2, 3
 #: Tokens that are worked on at a time.
-TOKENS = 500_000
+TOKENS = 250_000
 #: Blocks of rows that count boundaries between words, and of rows with a word's total.
 BOUNDARY, TOTAL = -1, -2
 #: Cells of a table of counts that is kept dense.
@@ -252,7 +252,7 @@ def score(docs: DataFrame, held_out: Column, block_mb: float = 2.5, **options) -
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         # a worker keeps one for all its blocks
         tree = shipped.value
-        scorer = tree.scorer = getattr(tree, "scorer", None) or Scorer([tree])
+        scorer = tree.scorer = getattr(tree, "scorer", None) or Scorer([tree], most=300_000)
         numbers, ids, sizes = Numbers(), [], []
         for _, lists in groups_of(left["t"]):
             ids.append(numbers.of([w for x in lists for w in x]).astype(np.int32))
@@ -268,8 +268,8 @@ def score(docs: DataFrame, held_out: Column, block_mb: float = 2.5, **options) -
                     counts[at] = c
         base = np.log10(counts + 0.5) - np.log10(total + 0.5 * (kinds + 1))
         model = np.zeros(len(counts))
-        for low in range(0, len(counts), 50_000):
-            items = [word_item(w) for w in numbers.words[low : low + 50_000]]
+        for low in range(0, len(counts), 15_000):
+            items = [word_item(w) for w in numbers.words[low : low + 15_000]]
             model[low : low + len(items)] = scorer.score([x[0] for x in items], [x[1] for x in items])[:, 0]
         which, before, symbols = numbers.boundaries(tokens, firsts)
         token = (model[tokens] + scorer.score(before, symbols)[:, 0][which]) / LN10
@@ -282,6 +282,8 @@ def score(docs: DataFrame, held_out: Column, block_mb: float = 2.5, **options) -
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
             return pa.table([left["doc_id"], left["held_out"], *(pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-        return work(left, right if len(right) else empty)
+        out = work(left, right if len(right) else empty)
+        give_back()
+        return out
 
     return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(both, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
