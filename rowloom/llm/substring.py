@@ -80,9 +80,8 @@ def settle(strings: list[bytes], docs: np.ndarray, window: int) -> tuple[np.ndar
     Sorting by (hash, document) puts the smallest document of each window first; neighbours of equal hash are compared
     word by word, and where hashes collide the windows are told apart by their words.
     """
-    lists = [s.split(b" ") for s in strings]
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    words = [w for x in lists for w in x]
+    sizes = np.fromiter((s.count(b" ") for s in strings), np.int64, len(strings)) + 1
+    words = b" ".join(strings).split(b" ")
     counts = sizes - window + 1
     firsts = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
     keys = run_hashes(word_hashes(words), window)[firsts]
