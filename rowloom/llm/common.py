@@ -65,9 +65,14 @@ def map_arrow(df: DataFrame, work, schema) -> DataFrame:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches):
+        import gc
+
+        # workers hold many small objects and make no cycles: looking for some again and again costs much
+        gc.disable()
         try:
             yield from work(batches)
         finally:
+            gc.enable()
             give_back()
 
     return df.mapInArrow(run, schema)
