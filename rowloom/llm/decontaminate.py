@@ -46,9 +46,9 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def item_words(items: DataFrame) -> DataFrame:
-    """(item_id string, terms) of the items that have both."""
+    """(item_id string, terms) of the items that have both; repeated ones count once."""
     rows = items.select(F.col("item_id").cast("string").alias("item_id"), F.transform(words(F.col("text")), lowered).alias("terms"))
-    return rows.where((F.size("terms") > 0) & F.col("item_id").isNotNull())
+    return rows.where((F.size("terms") > 0) & F.col("item_id").isNotNull()).distinct()
 
 
 def term_counts(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -329,6 +329,14 @@ def test_contamination_without_broadcast(spark, docs, texts, monkeypatch):
     assert sorted(map(str, decontaminate.contamination(docs, bench).collect())) == want
 
 
+def test_repeated_benchmark_rows(spark):
+    words = [f"w{k}" for k in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(words[20:])), (2, " ".join(words[:20]))], "doc_id long, text string")
+    for times in (1, 2, 4):
+        bench = spark.createDataFrame([(5, " ".join(words))] * times, "item_id long, text string")
+        assert {r["doc_id"]: (r["n_hit"], r["contaminated"]) for r in decontaminate.contamination(docs, bench).collect()} == {1: (20, True), 2: (20, True)}
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "common zebra common quartz common"), (2, "zebra common common common common common quartz"), (3, "common")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "zebra common quartz")], "item_id long, text string")
