@@ -5,8 +5,8 @@ an edit moves no boundary but its own. Section nodes hash their paragraphs' hash
 Texts are equal if and only if their roots are (up to a collision of SHA-256 or MD5); where roots differ, only sections
 that differ need to be opened to locate the paragraphs that do.
 
-For likeness, paragraphs are opened further, into segments of two words, and texts of up to SHORT characters into pieces
-of four characters instead: a fingerprint carries, beside the root, the
+For likeness, paragraphs are opened further, into segments of two words and, at every length alike, into pieces of four
+characters: a fingerprint carries, beside the root, the
 SKETCH smallest 32-bit hashes of its distinct segments, whose overlap estimates the Jaccard similarity of two texts'
 segments (exactly, if both have no more). The fingerprint is the root in hex, a colon, and the sketch in hex.
 
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from rowloom.llm.common import stored
 
-SECTION, SKETCH, SHORT = 4, 64, 64
-PIECE = r"(?s).{1,4}"
+SECTION, SKETCH = 4, 64
+PIECE = r"\n|[^\n]{1,4}"
 SEGMENT = r"[^\s]+(?:[^\S\n]+[^\s]+)?"
 #: Ids are put in order by blocks of 2 ** BLOCK_BITS, LEVELS levels of them.
 BLOCK_BITS, LEVELS = 10, 3
@@ -51,7 +51,7 @@ def tree(text: Column) -> Column:
 def sketch(text: Column) -> Column:
     """The smallest 32-bit hashes of a text's segments, in order."""
     text = F.coalesce(text, F.lit(""))
-    segments = F.when(F.char_length(text) <= SHORT, F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(SEGMENT), F.lit(0)))
+    segments = F.concat(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), F.regexp_extract_all(text, F.lit(SEGMENT), F.lit(0)))
     hashes = F.transform(segments, lambda s: F.hash(s))
     return F.slice(F.array_sort(F.array_distinct(hashes)), 1, SKETCH)
 

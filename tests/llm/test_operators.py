@@ -359,6 +359,15 @@ def test_merkle(docs, texts, none):
     assert merkle.compared(none).count() == 0
 
 
+def test_merkle_likeness_at_every_length(spark):
+    words = " ".join(f"word{k:02d}" for k in range(20))
+    pairs = [(words[:80], words[:60]), (words[:64], words[:66]), (words[:63], words[:65])]
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", merkle.likeness(merkle.print_of(F.col("a")), merkle.print_of(F.col("b"))).alias("x")).collect()
+    assert all(r["x"] >= 0.5 for r in rows)
+    docs = spark.createDataFrame([(1, words[:80]), (2, "")], "doc_id long, text string")
+    assert by_id(merkle.compared(docs))[1]["near_edited"] >= 0.5
+
+
 def test_merkle_trees_locate_edits(spark):
     base = [f"paragraph number {k} of a longer text" for k in range(40)]
     other = base.copy()
