@@ -11,8 +11,8 @@ before it. A text's score is the sum over its tokens.
 Counts: blocks of documents are ranges of doc_id with about equally many rows, so that tasks over tables in that order sum
 up nearly whole blocks before anything moves. A word's counts meet in one task, at most one row from each block and task
 however frequent the word is, and totals go back to those blocks whose own count is less. Block and totals meet in one
-task. The tree has at most `most_states` states, those of
-the greatest gain, which bounds what the driver gathers and sends to the workers; counts are of all training texts.
+task. The divergence test alone decides which states there are. The tree is gathered and sent to the workers whole, so it
+grows with the corpus (far slower than its size); counts are of all training texts.
 """
 
 from __future__ import annotations
@@ -202,7 +202,7 @@ def contexts(vocabulary: DataFrame, depth: int) -> DataFrame:
     return map_arrow(vocabulary.select("boundary", "word", "n"), work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def retained(counts: DataFrame, most_states: int, penalty: float) -> DataFrame:
+def retained(counts: DataFrame, penalty: float) -> DataFrame:
     """The rows of counts whose context is retained: (key, n)."""
     rows = counts.select("key", "n", F.shiftright("key", 8).alias("state"), F.shiftright("key", 56).cast("int").alias("depth"))
     totals = rows.groupBy("state").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
@@ -212,14 +212,13 @@ def retained(counts: DataFrame, most_states: int, penalty: float) -> DataFrame:
     deeper = rows.where("depth > 0").withColumn("parent", below).join(parents, "parent").withColumn("above", F.shiftright("parent", 8))
     judged = deeper.join(totals, "state").join(sizes, "above")
     gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("total") * F.col("above_n") / F.col("parent_n")))
-    kept = judged.groupBy("state").agg(gain.alias("gain"), F.first("kinds").alias("kinds")).where(F.col("gain") > penalty * F.col("kinds"))
-    kept = kept.orderBy(F.col("gain").desc(), "state").limit(most_states).select("state")
+    kept = judged.groupBy("state").agg(gain.alias("gain"), F.first("kinds").alias("kinds")).where(F.col("gain") > penalty * F.col("kinds")).select("state")
     return rows.where("depth = 0").select("key", "n").unionAll(rows.join(kept, "state", "left_semi").select("key", "n"))
 
 
-def fit(vocabulary: DataFrame, depth: int = DEPTH, most_states: int = 100_000, penalty: float = 2.0, weight: float = 4.0) -> Tree:
+def fit(vocabulary: DataFrame, depth: int = DEPTH, penalty: float = 2.0, weight: float = 4.0) -> Tree:
     """vocabulary: (boundary, word, n), n > 0; see word_counts."""
-    rows = retained(stored(contexts(vocabulary, depth), "contexts"), most_states, penalty).toArrow()  # at most 257 rows a state
+    rows = retained(stored(contexts(vocabulary, depth), "contexts"), penalty).toArrow()  # at most 257 rows a state
     return Tree.suffix(rows["key"].to_numpy(), rows["n"].to_numpy(), depth, weight)
 
 

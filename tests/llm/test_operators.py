@@ -251,6 +251,14 @@ def test_language_model_is_a_distribution():
     assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_language_model_keeps_all_states_that_pass(spark):
+    """120,000 contexts of three bytes after which one symbol is sure, while it is an even chance after their last two."""
+    three = spark.range(120_000).selectExpr("(3L << 56) | (id << 8) | 1L as key", "100L as n")
+    two = spark.range(1 << 16).crossJoin(spark.range(1, 3).toDF("symbol")).selectExpr("(2L << 56) | (id << 8) | symbol as key", "200L as n")
+    got = suffixtree.retained(three.unionAll(two), 2.0)
+    assert got.where("shiftright(key, 56) = 3").count() == 120_000
+
+
 def test_language_model_odd_rows(spark, none):
     df = spark.createDataFrame([(None, "a b", None, None, None), (None, None, None, None, None), (3, "a b", None, None, None), (3, "a b", None, None, None)], SCHEMA)
     got = suffixtree.score(df, F.lit(False)).collect()
