@@ -29,7 +29,7 @@ from rowloom.llm.bytetree import DEPTH, END, START, STOP, Scorer, Tree, counts_o
 from rowloom.llm.common import give_back, map_arrow, parts_for, stored, text_bytes
 
 #: The first symbols of a word whose contexts reach into the word before, and how many bytes of it.
-BOUND, TAIL = 2, 3
+BOUND, TAIL = 3, 3
 #: Tokens that are worked on at a time.
 TOKENS = 250_000
 #: Blocks of rows that count boundaries between words, and of rows with a word's total.

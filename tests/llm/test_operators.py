@@ -259,6 +259,12 @@ def test_language_model_keeps_all_states_that_pass(spark):
     assert got.where("shiftright(key, 56) = 3").count() == 120_000
 
 
+def test_third_symbol_sees_the_word_before():
+    numbers = suffixtree.Numbers()
+    _, before, symbols = numbers.boundaries(numbers.of([b"left", b"abcd"]), np.array([0]))
+    assert (b"eft" + suffixtree.START, b"abc") in zip(before, symbols, strict=True) and suffixtree.word_item(b"abcd") == (suffixtree.START + b"abc", b"d ")
+
+
 def test_language_model_odd_rows(spark, none):
     df = spark.createDataFrame([(None, "a b", None, None, None), (None, None, None, None, None), (3, "a b", None, None, None), (3, "a b", None, None, None)], SCHEMA)
     got = suffixtree.score(df, F.lit(False)).collect()
