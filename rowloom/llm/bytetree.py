@@ -80,7 +80,7 @@ class Tree:
 
     @classmethod
     def suffix(cls, keys: np.ndarray, counts: np.ndarray, depth: int, weight: float) -> Tree:
-        """Each state's counts are smoothed with its longest shorter state's distribution, which counts as `weight` symbols."""
+        """Each state's counts are smoothed with its longest shorter state's distribution, which counts as `weight` symbols for each distinct symbol of the state, and one more."""
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order].astype(float)
         tree = cls(keys[:0], counts[:0], keys[:0], counts[:0], depth)
@@ -93,8 +93,9 @@ class Tree:
             kinds = np.diff(np.append(first, len(k)))
             total = np.add.reduceat(c, first)
             below = np.exp(tree._look(k & 255, (k >> 8) & ((1 << 48) - 1), np.full(len(k), d - 1)))
-            logs = np.log((c + weight * below) / (np.repeat(total, kinds) + weight))
-            tree = cls(np.concatenate([tree.entries, k]), np.concatenate([tree.logs, logs]), np.concatenate([tree.states, k[first] >> 8]), np.concatenate([tree.escapes, np.log(weight / (total + weight))]), depth)
+            share = weight * kinds + 1
+            logs = np.log((c + np.repeat(share, kinds) * below) / np.repeat(total + share, kinds))
+            tree = cls(np.concatenate([tree.entries, k]), np.concatenate([tree.logs, logs]), np.concatenate([tree.states, k[first] >> 8]), np.concatenate([tree.escapes, np.log(share / (total + share))]), depth)
         return tree
 
     def _look(self, symbol: np.ndarray, context: np.ndarray, room: np.ndarray) -> np.ndarray:

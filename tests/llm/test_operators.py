@@ -259,10 +259,57 @@ def test_language_model_keeps_all_states_that_pass(spark):
     assert got.where("shiftright(key, 56) = 3").count() == 120_000
 
 
-def test_third_symbol_sees_the_word_before():
-    numbers = suffixtree.Numbers()
-    _, before, symbols = numbers.boundaries(numbers.of([b"left", b"abcd"]), np.array([0]))
-    assert (b"eft" + suffixtree.START, b"abc") in zip(before, symbols, strict=True) and suffixtree.word_item(b"abcd") == (suffixtree.START + b"abc", b"d ")
+def brute_tree(learned: list[bytes], penalty: float, weight: float):
+    """Probabilities by the definition, with dicts: (symbol, context) -> natural logarithm."""
+    counts: dict = {}
+    for text in learned:
+        for k in range(6, len(text)):
+            for d in range(7):
+                counts.setdefault(text[k - d : k], Counter())[text[k]] += 1
+    kept = {b""}
+    for state, own in counts.items():
+        if state:
+            above, total = counts[state[1:]], sum(own.values())
+            gain = sum(n * np.log(n / total * sum(above.values()) / above[x]) for x, n in own.items())
+            if gain > penalty * len(own):
+                kept.add(state)
+
+    def p(symbol, context):
+        while context not in kept:
+            context = context[1:]
+        own = counts.get(context, Counter())
+        if not own:
+            return 1 / 256
+        share = weight * len(own) + 1
+        return (own[symbol] + share * (p(symbol, context[1:]) if context else 1 / 256)) / (sum(own.values()) + share)
+
+    return p
+
+
+@pytest.mark.parametrize(("entries", "words", "held"), [(8_000_000, 2_000_000, 4_000_000), (500, 20, 1000)])
+def test_language_model_scores_by_the_definition(docs, texts, monkeypatch, entries, words, held):
+    """One slice and all words broadcast; many slices, most words joined, many small sums and chunks."""
+    if held == 1000:
+        for name, value in (("HELD", held), ("KNOWN_WORDS", words), ("CHUNK", 700), ("GROUP", 3000)):
+            monkeypatch.setattr(suffixtree, name, value)
+    spelled = {d: b"\n" * 6 + b" ".join([*t.encode().lower().split(), b"\r"]) for d, t in texts.items()}
+    p = brute_tree([t for d, t in spelled.items() if d % 5 != 1], 1.0, 2.0)
+    got = by_id(suffixtree.score(docs, F.col("doc_id") % 5 == 1, entries=entries))
+    counts = Counter(w for d, t in texts.items() if d % 5 != 1 for w in [*t.encode().lower().split(), b"\r"])
+    total, kinds = sum(counts.values()), len(counts)
+    for d, t in spelled.items():
+        want = sum(np.log10(p(t[k], t[k - 6 : k])) for k in range(6, len(t)))
+        assert got[d]["score"] == pytest.approx(want, rel=1e-4), d
+        tokens = t[6:].split(b" ")
+        assert got[d]["base_score"] == pytest.approx(sum(np.log10((counts[w] + 0.5) / (total + 0.5 * (kinds + 1))) for w in tokens))
+        assert got[d]["n_known"] == sum(counts[w] > 0 for w in tokens)
+
+
+def test_contexts_reach_into_the_words_before():
+    buffer = np.frombuffer(suffixtree.spelled([b"a", b"left", b"abc", suffixtree.END]), np.uint8)
+    keys = suffixtree.keys_of(buffer, 6, len(buffer))
+    spelled = [int(k).to_bytes(7, "big") for k in keys]
+    assert b"eft abc" in spelled and b"a left " in spelled and spelled[0] == b"\n" * 6 + b"a" and spelled[-1][-1:] == suffixtree.END
 
 
 def test_language_model_odd_rows(spark, none):
