@@ -10,7 +10,7 @@ is the sum over its symbols; base_score is the add-half unigram score of its tok
 Counting: each task sums its texts' contexts of the full depth and its words in sorted arrays and sends them, packed, to
 parts: contexts by their last two bytes, words by their hash. Texts start after `depth` START bytes, so that every context
 is full and shorter ones are sums of longer ones; all contexts with the same last two bytes meet, and so contexts of three
-bytes and more are judged where they are counted. Shorter ones (at most 65,536 contexts) are judged in DataFrame functions.
+bytes and more are judged and smoothed where they meet. Shorter ones (at most 65,536 contexts) are judged in DataFrame functions.
 
 Scoring: texts do not move. The tree goes to the workers in slices of at most `entries` entries by contexts' last two
 bytes, a pass over the texts for each slice, so that its growth costs passes and not memory. Counts of the commonest words,
@@ -255,13 +255,34 @@ class Slices:
                 held = 0
             held += row["n"]
         self.bounds.append(1 << 16)
+        self.tasks = max(12, entries // 500_000)
 
     def __iter__(self) -> Iterator[tuple[int, int, Tree]]:
         """(low, high, tree): for contexts whose last two bytes are from low to below high."""
+        shallow = tuple(self.shallow[c].to_numpy() for c in ("key", "n"))
+        top, shipped, weight = Tree.suffix(*shallow, DEPTH, self.weight), self.deep.sparkSession.sparkContext.broadcast(shallow), self.weight
+
+        def smoothed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Entries and states of longer contexts; all that a context is smoothed with has the same last two bytes, or is short."""
+            own = list(batches)
+            if not own:
+                return
+            keys, counts = (np.concatenate([short, *(x.column(k).to_numpy() for x in own)]) for k, short in enumerate(shipped.value))
+            tree = Tree.suffix(keys, counts, DEPTH, weight)
+            for state, k, v, shift in ((False, tree.entries, tree.logs, 56), (True, tree.states, tree.escapes, 48)):
+                at = np.flatnonzero(k >> shift >= 2)
+                for low in range(0, len(at), 100_000):
+                    part = at[low : low + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), state)), pa.array(k[part]), pa.array(v[part])], names=["state", "key", "value"])
+
         for low, high in zip(self.bounds, self.bounds[1:], strict=False):
-            own = self.deep.where((F.col("two") >= low) & (F.col("two") < high)).select("key", "n").toArrow()
-            keys, counts = (np.concatenate([x[c].to_numpy() for x in (self.shallow, own)]) for c in ("key", "n"))
-            yield low, high, Tree.suffix(keys, counts, DEPTH, self.weight)
+            own = self.deep.where((F.col("two") >= low) & (F.col("two") < high))
+            made = stored(map_arrow(own.repartition(self.tasks, "two").select("key", "n"), smoothed, "state boolean, key long, value float"), "tree")
+            parts = []
+            for state, k, v in ((False, top.entries, top.logs), (True, top.states, top.escapes)):
+                rows = made.where(F.col("state") == state).select("key", "value").orderBy("key").toArrow()  # at most `entries`
+                parts += [np.concatenate([k, rows["key"].to_numpy()]), np.concatenate([v, rows["value"].to_numpy()])]
+            yield low, high, Tree(*parts, DEPTH)
 
 
 def common_words(words: DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -273,10 +294,8 @@ def common_words(words: DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
         if held + sizes[b] > KNOWN_WORDS:
             break
         least, held = b, held + sizes[b]
-    rows = words.where(step >= least).toArrow()
-    keys, counts = rows["key"].to_numpy(), rows["n"].to_numpy()
-    order = np.argsort(keys)
-    return keys[order], counts[order], held == sum(sizes.values())
+    rows = words.where(step >= least).orderBy("key").toArrow()
+    return rows["key"].to_numpy(), rows["n"].to_numpy(), held == sum(sizes.values())
 
 
 def _symbol_scores(lists: list[list[bytes]], tree: Tree, mine: np.ndarray) -> np.ndarray:
@@ -295,7 +314,7 @@ def _symbol_scores(lists: list[list[bytes]], tree: Tree, mine: np.ndarray) -> np
     return out
 
 
-def score(docs: DataFrame, held_out: Column, penalty: float = 1.0, weight: float = 2.0, entries: int = 8_000_000, part_mb: float = 8) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, penalty: float = 1.0, weight: float = 2.0, entries: int = 16_000_000, part_mb: float = 8) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
     held_out: whether a row is kept from training. If nothing is left to train on, N and V are 0 and all symbols are alike.

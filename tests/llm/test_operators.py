@@ -286,7 +286,7 @@ def brute_tree(learned: list[bytes], penalty: float, weight: float):
     return p
 
 
-@pytest.mark.parametrize(("entries", "words", "held"), [(8_000_000, 2_000_000, 4_000_000), (500, 20, 1000)])
+@pytest.mark.parametrize(("entries", "words", "held"), [(16_000_000, 2_000_000, 4_000_000), (500, 20, 1000)])
 def test_language_model_scores_by_the_definition(docs, texts, monkeypatch, entries, words, held):
     """One slice and all words broadcast; many slices, most words joined, many small sums and chunks."""
     if held == 1000:
