@@ -12,6 +12,8 @@ MB = 1 << 20
 #: Sizes from here on are what the planner says when it does not know.
 UNKNOWN = 1 << 50
 BATCH_ROWS = 1000
+#: Rows of a few numbers or short strings that may be broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +54,11 @@ def parts_for(df: DataFrame, mb_each: float, least: int = 12, most: int = 200_00
     return int(max(least, min(most, size / (mb_each * MB))))
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it is counted to have at most BROADCAST_ROWS rows; for rows whose width is bounded."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def id_hash_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 

@@ -10,10 +10,16 @@ expected candidates, from histograms of the partitions' values over all distinct
 the corpus, which is the proven bound of what is broadcast). Each fingerprint is indexed under its four values and probes
 the values within its thresholds; candidates are verified bit by bit.
 
-A partition value that very many fingerprints hold would give candidates in the square of their number. Whoever meets in
-such a crowded value is linked another exact way instead: two fingerprints are at most two bits apart if and only if some
-64-bit value is at most one bit from both, so each is sent to the 65 values of its ball, where at most 65 can meet.
-Nothing is dropped, and no group grows with the corpus.
+A partition value that more than CROWDED fingerprints hold is split by further bits, which the principle allows: two
+fingerprints that are at most two bits apart agree on two of the four partitions at least. Whoever holds or probes a
+crowded value is dealt under its six pairs of partition values, 32 bits each, so that what is dealt for a fingerprint does
+not grow with the corpus. If a pair of values is crowded in turn, there is a cluster of near copies, and its fingerprints
+are linked over middle values: two fingerprints are at most two bits apart if and only if some 64-bit value is at most one
+bit from both, so each is sent to the 65 values of its ball, where at most 65 can meet. Nothing is dropped, and no group
+grows with the corpus.
+
+For similarities that 64 bits cannot tell, `signature` gives as many bits as asked, in words of 64 that are partitioned one
+by one; see resemblance.
 """
 
 from __future__ import annotations
@@ -25,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import map_arrow, stored, text_bytes
+from rowloom.llm.common import map_arrow, small, stored, text_bytes
 from rowloom.llm.graph import components
 
 PARTS, WIDTH = 4, 16
-#: A value that more distinct fingerprints than this hold is crowded.
+#: A value, or pair of values, that more distinct fingerprints than this hold is crowded.
 CROWDED = 48
+PAIRS = tuple((i, j) for i in range(PARTS) for j in range(i))
 _CHUNK = 1 << 15
 
 
@@ -71,25 +78,37 @@ def _bits(values: np.ndarray) -> np.ndarray:
     return np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
-def bit_groups(together: np.ndarray, n: int) -> list[list[int]]:
-    """Bits 0 to 63 in PARTS groups of WIDTH; each group grows by the bit that is most correlated with it."""
+def signature(hashes: np.ndarray, words: int) -> np.ndarray:
+    """64 * words majority bits over a set's hashes, each of them stirred anew for each word; no hashes give 0."""
+    n, ones = len(hashes), np.zeros(64 * words, np.int64)
+    steps = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, n, 255):  # so many ones that a byte can count
+        x = hashes[at : at + 255].view(np.uint64)[:, None] + steps[None, :]
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > n, bitorder="little").view("<i8")
+
+
+def bit_groups(together: np.ndarray, n: int, parts: int = PARTS) -> list[list[int]]:
+    """Bits 0 to 63 in as equal groups as can be; each group grows by the bit that is most correlated with it."""
     p = np.diag(together) / max(n, 1)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-9))
     related = np.abs(together / max(n, 1) - np.outer(p, p)) / np.outer(spread, spread)
     left, groups = list(range(64)), []
-    for _ in range(PARTS):
+    for k in range(parts):
         own = [left.pop(int(np.argmax(related[np.ix_(left, left)].sum(axis=0))))]
-        while len(own) < WIDTH:
+        while len(own) < 64 // parts + (k < 64 % parts):
             own.append(left.pop(int(np.argmax(related[np.ix_(left, own)].sum(axis=1)))))
         groups.append(sorted(own))
     return groups
 
 
 def parts_of(values: np.ndarray, groups: list[list[int]]) -> np.ndarray:
-    """Each value's PARTS partition values, as rows."""
+    """Each value's partition values, as rows."""
     bits = _bits(values)
-    weights = 1 << np.arange(WIDTH, dtype=np.int64)
-    return np.stack([bits[:, g].astype(np.int64) @ weights for g in groups], axis=1)
+    return np.stack([bits[:, g].astype(np.int64) @ (1 << np.arange(len(g), dtype=np.int64)) for g in groups], axis=1)
 
 
 def expected(histogram: np.ndarray, distance: int) -> np.ndarray:
@@ -139,13 +158,11 @@ def flips(distance: int) -> list[np.ndarray]:
     return masks
 
 
-def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
-    """(a, b): ids of distinct fingerprints at most distance bits apart; at least enough of them to connect all that are linked.
+def dealt(distinct: DataFrame, distance: int = 2) -> DataFrame:
+    """(role, key, fp, rep), stored: role 0 holds a partition value, 1 probes one, 2 holds and probes a pair of them.
 
-    distinct: (fp long, rep), one row per fingerprint. rep: an id without nulls.
+    distinct: (fp long, rep), one row per fingerprint.
     """
-    if not 0 <= distance <= 2:
-        raise ValueError("distance must be 0, 1 or 2: crowded values are linked over one middle value")
     spark = distinct.sparkSession
 
     def cooccur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +197,6 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
         held = shipped.value
         masks = flips(distance)
         costs = expected(held, distance) + np.array([len(m) for m in masks])[None, :, None]
-        ball = np.concatenate([[np.uint64(0)], np.uint64(1) << np.arange(64, dtype=np.uint64)])
         for batch in batches:
             fps, reps = batch.column(0).to_numpy().view(np.uint64), batch.column(1)
             values = parts_of(fps, groups)
@@ -209,9 +225,9 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
                         # a value that nobody holds has no candidates, nor one that only the prober holds
                         some = (there > 0) & (there <= CROWDED) & ~((probes == values[at, i]) & (there == 1))
                         put(at[some], (i << WIDTH) + probes[some], 1)
-            for at in np.array_split(everyone[crowded], max(1, crowded.sum() // 4096)):
-                if len(at):
-                    put(np.repeat(at, 65), (fps[at][:, None] ^ ball[None, :]).ravel().view(np.int64), 2)
+            at = everyone[crowded]
+            for k, (i, j) in enumerate(PAIRS):
+                put(at, (k << 2 * WIDTH) + (values[at, i] << WIDTH) + values[at, j], 2)
             at, key, role = np.concatenate(rows), np.concatenate(keys), np.concatenate(roles)
             for k in range(0, len(at), 1 << 17):
                 take = at[k : k + (1 << 17)]
@@ -219,16 +235,33 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
                     [pa.array(role[k : k + (1 << 17)]), pa.array(key[k : k + (1 << 17)].astype(np.int64)), pa.array(fps[take].view(np.int64)), reps.take(pa.array(take))], names=["role", "key", "fp", "rep"]
                 )
 
-    dealt = stored(map_arrow(distinct.select("fp", "rep"), deal, f"role byte, key long, fp long, rep {kind}"), "probes")
-    held = dealt.where("role = 0").select("key", F.col("fp").alias("x"), F.col("rep").alias("b"))
-    probes = dealt.where("role = 1").select("key", "fp", F.col("rep").alias("a"))
+    return stored(map_arrow(distinct.select("fp", "rep"), deal, f"role byte, key long, fp long, rep {kind}"), "probes")
+
+
+def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
+    """(a, b): ids of distinct fingerprints at most distance bits apart; at least enough of them to connect all that are linked.
+
+    distinct: (fp long, rep), one row per fingerprint. rep: an id without nulls.
+    """
+    if not 0 <= distance <= 2:
+        raise ValueError("distance must be 0, 1 or 2: clusters are linked over one middle value, and pairs of partition values hold for no more")
+    rows = dealt(distinct, distance)
+    held = rows.where("role = 0").select("key", F.col("fp").alias("x"), F.col("rep").alias("b"))
+    probes = rows.where("role = 1").select("key", "fp", F.col("rep").alias("a"))
     near = held.join(probes, "key").where((F.col("x") != F.col("fp")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("fp"))) <= distance)).select("a", "b")
+    pairs = rows.where("role = 2").select("key", "fp", "rep")
+    full = stored(pairs.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("key"), "crowded")
+    one, two = pairs.join(small(full), "key", "left_anti").select("key", F.col("fp").alias("x"), F.col("rep").alias("a")), pairs.select("key", "fp", F.col("rep").alias("b"))
+    near = near.unionAll(one.join(two, "key").where((F.col("x") < F.col("fp")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("fp"))) <= distance)).select("a", "b"))
+    cluster = pairs.join(small(full), "key", "left_semi").select("fp", "rep").distinct()
+    middles = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))))
+    balls = cluster.select("fp", "rep", F.explode(middles).alias("key"))
     if distance < 2:
         # a middle value links up to two bits; nearer ones need the direct test among the at most 65 that meet
-        meet = dealt.where("role = 2").groupBy("key").agg(F.collect_list(F.struct("fp", "rep")).alias("m")).where(F.size("m") > 1)
-        pairs = meet.select(F.explode("m").alias("p"), "m").select("p", F.explode("m").alias("q")).where((F.col("p.fp") < F.col("q.fp")) & (F.bit_count(F.col("p.fp").bitwiseXOR(F.col("q.fp"))) <= distance))
-        return near.unionAll(pairs.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")))
-    meet = dealt.where("role = 2").groupBy("key").agg(F.collect_list("rep").alias("m")).where(F.size("m") > 1)
+        meet = balls.groupBy("key").agg(F.collect_list(F.struct("fp", "rep")).alias("m")).where(F.size("m") > 1)
+        direct = meet.select(F.explode("m").alias("p"), "m").select("p", F.explode("m").alias("q")).where((F.col("p.fp") < F.col("q.fp")) & (F.bit_count(F.col("p.fp").bitwiseXOR(F.col("q.fp"))) <= distance))
+        return near.unionAll(direct.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")))
+    meet = balls.groupBy("key").agg(F.collect_list("rep").alias("m")).where(F.size("m") > 1)
     return near.unionAll(meet.select(F.array_min("m").alias("a"), F.explode("m").alias("b")).where("a <> b"))
 
 

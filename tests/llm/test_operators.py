@@ -181,6 +181,16 @@ def test_links_of_clustered_fingerprints(spark, monkeypatch, crowded):
     assert got == brute_components(prints, 2)
 
 
+def test_what_is_dealt_does_not_grow_with_the_corpus(spark, monkeypatch):
+    """Rows for each fingerprint while values get 100 times as full, from few that are crowded to nearly all."""
+    monkeypatch.setattr(simhash, "CROWDED", 1)
+    each = []
+    for n in (2_000, 200_000):
+        prints = spark.range(n).select(F.xxhash64("id").alias("fp"), F.col("id").alias("rep"))
+        each.append(simhash.dealt(prints).count() / n)
+    assert max(each) < 10 and each[1] < 1.6 * each[0]
+
+
 def test_thresholds_cover_and_fit():
     costs = np.random.default_rng(1).random((simhash.PARTS, 3, 1 << simhash.WIDTH))
     values = np.random.default_rng(2).integers(0, 1 << simhash.WIDTH, (50, simhash.PARTS))
