@@ -124,11 +124,12 @@ def proximity_matches(docs: DataFrame, items: DataFrame, within: int, window: in
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
-    """(doc_id, n_words, n_hit, item_ids, contaminated) for each row of docs; contaminated: share * n_hit >= n_words, and any hit at all. item_ids are sorted as strings."""
+    """(doc_id, n_words, n_hit, item_ids, longest, contaminated) for each row of docs; contaminated: share * n_hit >= n_words, and any hit at all. item_ids are sorted as strings; longest is the longest run of words that one item's windows cover, 0 without a hit."""
     hits = phrase_matches(docs, items, window).groupBy("doc_id").agg(
         F.size(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("first", "last")), lambda x: F.sequence(x["first"], x["last"]))))).cast("long").alias("n_hit"),
         F.array_sort(F.collect_set("item_id")).alias("item_ids"),
+        F.max(F.col("last") - F.col("first") + 1).cast("long").alias("longest"),
     )
     rows = docs.select("doc_id", F.size(words(docs["text"])).cast("long").alias("n_words")).join(hits, "doc_id", "left")
-    rows = rows.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+    rows = rows.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), F.coalesce("longest", F.lit(0).cast("long")).alias("longest"))
     return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
