@@ -53,7 +53,7 @@ def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.compared(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return found.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.col("changed.first").alias("changed_from"), F.col("changed.last").alias("changed_to"))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -448,6 +448,48 @@ def test_merkle_trees_locate_edits(spark):
     assert got["e"] == [17] and got["n"] == [] and got["s"] > 1
 
 
+def brute_leaves(text: str) -> set:
+    """Cut after a vowel or mark before white space, which goes along, at line ends (which are leaves), and after 40 characters."""
+    out, own = set(), ""
+    for k, c in enumerate(text):
+        if c == "\n" and not (len(own) > 1 and own[-1] in "aeiouy.,;:!?" and len(own) < 40):
+            out |= {own, "\n"} - {""}
+            own = ""
+            continue
+        own += c
+        if len(own) == 40 or (c in " \t\r\n" and len(own) > 1 and own[-2] in "aeiouy.,;:!?" and len(own) <= 41):
+            out.add(own)
+            own = ""
+    return out | ({own} - {""})
+
+
+def test_merkle_likeness_is_of_leaves(docs, texts):
+    ids = sorted(texts)
+    after = {d: texts[ids[(k + 1) % len(ids)]] for k, d in enumerate(ids)}
+    near = lambda a, b: 1.0 if a == b else 2 * len(brute_leaves(a) & brute_leaves(b)) / max(1, len(brute_leaves(a)) + len(brute_leaves(b)))
+    for d, r in by_id(merkle.compared(docs)).items():
+        assert r["near_next"] == pytest.approx(near(texts[d], after[d])), texts[d]
+        assert r["near_edited"] == pytest.approx(near(texts[d], r["edited"])), texts[d]
+        own, other = texts[d].split("\n"), r["edited"].split("\n")
+        if texts[d] == r["edited"]:
+            assert r["changed"] is None
+        else:
+            first, last, end = r["changed"]
+            assert own[:first] == other[:first] and own[last + 1 :] == other[end + 1 :] and own[first : last + 1] != other[first : end + 1]
+
+
+def test_merkle_of_hashed_and_string_ids(spark):
+    """Sparse ids of 64 bits and strings, dealt over several ranges: neighbours by their order."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = [(k, f"text {k} about some things, and more of {k}") for k in range(500)]
+    hashed = spark.createDataFrame(rows, "k long, text string").select(F.xxhash64("k").alias("doc_id"), "text").repartition(8)
+    for ids in (hashed, hashed.withColumn("doc_id", F.col("doc_id").cast("string"))):
+        order = sorted((r["doc_id"], r["text"]) for r in ids.collect())
+        want = {d: t[: len(t) - len(t) // 4] + order[(k + 1) % len(order)][1][: len(t) // 4] for k, (d, t) in enumerate(order)}
+        assert {d: r["edited"] for d, r in by_id(merkle.compared(ids)).items()} == want
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_merkle_reads_what_it_writes(spark):
     row = spark.createDataFrame([("some text of several words, more than sixty-four characters of it in all",)], "t string").select(merkle.print_of(F.col("t")).alias("p"))
     got = row.select("p", merkle.read(merkle.written(F.col("p"))).alias("q")).head()
