@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MB = 1 << 20
@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
         sc = spark.sparkContext
         folder = sc.getCheckpointDir() if sc._jsc.sc().getCheckpointDir().isDefined() else None
         if not folder:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="rowloom-")
             sc.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -67,6 +69,20 @@ def text_bytes(column: Column) -> Column:
     return F.coalesce(column, F.lit("")).cast("binary")
 
 
+def picked(rows: DataFrame, by: str, order: Column, tie: str, most: int) -> DataFrame:
+    """Of rows with each value of `by` the `most` with the least `order`, a hash as a long; ties go by `tie`.
+
+    Hashes are even, so from each value's count it is known below which hash eight times that many lie; only those rows
+    move, and no task sees more of them however common a value is.
+    """
+    counts = rows.groupBy(by).agg(F.count("*").alias("__n"))  # few values: classes, languages
+    share = F.least(F.lit(1.0), F.lit(8.0 * most) / F.col("__n"))
+    within = rows.join(F.broadcast(counts.select(F.col(by).alias("__by"), share.alias("__share"))), F.col(by) == F.col("__by")).withColumn("__h", order)
+    within = within.where(F.col("__h") / F.lit(2.0**64) + 0.5 <= F.col("__share"))
+    ranked = within.withColumn("__k", F.row_number().over(Window.partitionBy(by).orderBy("__h", tie)))
+    return ranked.where(F.col("__k") <= most).select(*rows.columns)
+
+
 def map_arrow(df: DataFrame, work, schema) -> DataFrame:
     """df.mapInArrow with batches of BATCH_ROWS rows, so that long texts do not pile up on either side, and free memory given back when a task ends."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

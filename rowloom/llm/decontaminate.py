@@ -12,7 +12,9 @@ consecutive words of a benchmark item, or a shorter item as a whole.
 5. What is left is compared with the item word by word in both directions from the first probe; a run as long as a window
    is an exact phrase match, and all its words are hit.
 
-The benchmark side is broadcast only if it is counted to have at most BROADCAST_ROWS rows; else Spark shuffles both sides.
+What the benchmark side sends is, for each probe, the item's words up to a window away from it. It is broadcast only if it
+is measured to have at most BROADCAST_ROWS rows and BROADCAST_BYTES bytes; else both sides are shuffled by word, and places
+that are found go back to their texts by document.
 Null texts have no words. Items without words or id are left out. Documents without id come out without hits; rows that
 share an id share their hits.
 """
@@ -27,7 +29,7 @@ from rowloom.llm.common import stored
 #: What parts words before lower-casing, that is with A-Z among the words.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -40,9 +42,14 @@ def lowered(word: Column) -> Column:
     return F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
 
 
+def is_small(df: DataFrame) -> bool:
+    size = df.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).head()
+    return size["n"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES
+
+
 def small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it is counted to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """df, to be broadcast if it is measured to be small."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def item_words(items: DataFrame) -> DataFrame:
@@ -59,25 +66,38 @@ def term_counts(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def probes(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """(item_id, rank, at, term, terms): the places of each item's first and second probes."""
+    """(item_id, rank, at, term, near, off, least): the places of each item's first and second probes.
+
+    near: the item's words up to a window away, for first probes; off: the probe's place among them; least: how many words
+    a window of the item has.
+    """
     by_item = items.select("item_id", "terms", F.posexplode("terms").alias("at", "term")).join(small(counts), "term", "left")
     known = by_item.groupBy("item_id", "terms").agg(F.array_sort(F.collect_list(F.struct("at", "term", F.coalesce("n", F.lit(0)).alias("n")))).alias("all"))
     size = F.least(F.size("terms"), F.lit(window))
     starts = known.withColumn("start", F.explode(F.sequence(F.lit(0), F.size("terms") - size)))
     own = F.slice("all", F.col("start") + 1, size)
     ranked = F.array_sort(F.transform(own, lambda x: F.struct(x["n"].alias("n"), x["term"].alias("term"), x["at"].alias("at"))))
-    ranked = starts.select("item_id", "terms", ranked.alias("r")).where(F.col("r")[0]["n"] > 0)
-    pairs = ranked.select("item_id", "terms", F.posexplode(F.slice("r", 1, 2)).alias("rank", "p"))
-    return pairs.select("item_id", "rank", F.col("p.at").alias("at"), F.col("p.term").alias("term"), "terms").distinct()
+    ranked = starts.select("item_id", "terms", size.alias("least"), ranked.alias("r")).where(F.col("r")[0]["n"] > 0)
+    pairs = ranked.select("item_id", "terms", "least", F.posexplode(F.slice("r", 1, 2)).alias("rank", "p"))
+    low = F.greatest(F.col("p.at") - window + 1, F.lit(0))
+    near = F.when(F.col("rank") == 0, F.slice("terms", low + 1, F.col("p.at") - low + window))
+    return pairs.select("item_id", "rank", F.col("p.at").alias("at"), F.col("p.term").alias("term"), near.alias("near"), (F.col("p.at") - low).alias("off"), "least").distinct()
 
 
 def postings(docs: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
-    """(term, doc_id, pos, around, off) of wanted (term, keeps): where keeps, around has the words up to reach away and off the term's place among them."""
+    """(term, doc_id, pos, around, place) of wanted (term, keeps): where keeps, around has the words up to reach away and place the term's place among them."""
     rows = docs.where("doc_id is not null").select("doc_id", words(F.col("text")).alias("words"))
-    rows = rows.select("doc_id", "words", F.posexplode("words").alias("pos", "w")).withColumn("term", lowered(F.col("w"))).join(small(wanted), "term")
+    if is_small(wanted):
+        rows = rows.select("doc_id", "words", F.posexplode("words").alias("pos", "w")).withColumn("term", lowered(F.col("w"))).join(F.broadcast(wanted), "term")
+    else:
+        # texts must not move with each of their words: places go back to them instead
+        rows = rows.withColumn("hash", F.xxhash64("words"))
+        found = rows.select("doc_id", "hash", F.posexplode("words").alias("pos", "w")).withColumn("term", lowered(F.col("w"))).join(wanted, "term")
+        found = found.groupBy("doc_id", "hash").agg(F.collect_set(F.struct("pos", "term", "keeps")).alias("found"))
+        rows = rows.join(found, ["doc_id", "hash"]).select("doc_id", "words", F.inline("found"))
     low = F.greatest(F.col("pos") - reach, F.lit(0))
     around = F.transform(F.slice("words", low + 1, F.col("pos") - low + reach + 1), lowered)
-    return rows.select("term", "doc_id", "pos", F.when(F.col("keeps"), around).alias("around"), (F.col("pos") - low).alias("off"))
+    return rows.select("term", "doc_id", "pos", F.when(F.col("keeps"), around).alias("around"), (F.col("pos") - low).alias("place"))
 
 
 def index(docs: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
@@ -87,8 +107,8 @@ def index(docs: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
 
 def _run(step: int, reach: int) -> Column:
     """How many words agree from the first probe on, in the direction of step."""
-    same = lambda k: F.get(F.col("around"), F.col("off") + step * k).eqNullSafe(F.get(F.col("terms"), F.col("at") + step * k)) & F.get(F.col("terms"), F.col("at") + step * k).isNotNull()
-    agree = F.transform(F.sequence(F.lit(1), F.lit(reach)), same)
+    own, other = (lambda k: F.get(F.col("around"), F.col("place") + step * k)), (lambda k: F.get(F.col("near"), F.col("off") + step * k))
+    agree = F.transform(F.sequence(F.lit(1), F.lit(reach)), lambda k: own(k).eqNullSafe(other(k)) & other(k).isNotNull())
     return F.coalesce(F.nullif(F.array_position(agree, F.lit(False)), F.lit(0)) - 1, F.lit(reach)).cast("int")
 
 
@@ -100,12 +120,12 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = 13) -> DataF
     found = stored(probes(own, stored(term_counts(docs, own), "counts"), window), "probes")
     wanted = found.groupBy("term").agg((F.min("rank") == 0).alias("keeps"))
     held = index(docs, wanted, window - 1)
-    first = held.join(small(found.where("rank = 0")), "term").withColumn("diagonal", F.col("pos") - F.col("at"))
+    first = held.join(small(found.where("rank = 0").drop("rank")), "term").withColumn("diagonal", F.col("pos") - F.col("at"))
     second = held.select("term", "doc_id", "pos").join(small(found.where("rank = 1").select("term", "item_id", "at")), "term").select("item_id", "doc_id", (F.col("pos") - F.col("at")).alias("diagonal"))
-    alone = first.where(F.size("terms") == 1)  # such an item has no second word
-    both = first.where(F.size("terms") > 1).join(second, ["item_id", "doc_id", "diagonal"], "left_semi").select(alone.columns)
+    alone = first.where("least = 1")  # such an item has no second word
+    both = first.where("least > 1").join(second, ["item_id", "doc_id", "diagonal"], "left_semi").select(alone.columns)
     runs = both.unionByName(alone).withColumns({"left": _run(-1, window - 1), "right": _run(1, window - 1)})
-    runs = runs.where(F.col("left") + F.col("right") + 1 >= F.least(F.size("terms"), F.lit(window)))
+    runs = runs.where(F.col("left") + F.col("right") + 1 >= F.col("least"))
     return runs.select("doc_id", "item_id", (F.col("pos") - F.col("left")).alias("first"), (F.col("pos") + F.col("right")).alias("last"))
 
 
@@ -114,7 +134,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, within: int, window: in
     own = stored(item_words(items), "items")
     found = stored(probes(own, stored(term_counts(docs, own), "counts"), window), "probes")
     held = index(docs, found.select("term", F.lit(False).alias("keeps")).distinct(), 0)
-    lists = held.join(small(found), "term").select("doc_id", "item_id", "rank", (F.col("pos") - F.col("at")).alias("diagonal"))
+    lists = held.join(small(found.select("item_id", "rank", "at", "term")), "term").select("doc_id", "item_id", "rank", (F.col("pos") - F.col("at")).alias("diagonal"))
     # only diagonals in the same or a neighbouring stretch can be near: no pairs of all places in a document
     stretch = F.floor(F.col("diagonal") / (within + 1))
     one = lists.where("rank = 0").select("doc_id", "item_id", F.col("diagonal").alias("d"), F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch")).distinct()

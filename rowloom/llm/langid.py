@@ -13,11 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm.bytetree import START, STOP, Scorer, Tree, counts_of
-from rowloom.llm.common import map_arrow
+from rowloom.llm.common import map_arrow, picked
 
 #: Words whose code lengths a worker keeps; it starts anew beyond that.
 KEPT_WORDS = 300_000
@@ -32,8 +32,7 @@ def train(labelled: DataFrame, per_language: int = 300, depth: int = 4) -> dict[
 
     labelled: (doc_id, text, lang). per_language bounds what reaches the driver.
     """
-    pick = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id")
-    rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang").withColumn("k", F.row_number().over(pick)).where(F.col("k") <= per_language)
+    rows = picked(labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang"), "lang", F.xxhash64("doc_id", "text"), "doc_id", per_language)
     counts: dict[str, Counter] = {}
     for row in rows.select("lang", "text").collect():
         counts.setdefault(row["lang"], Counter()).update(words_of(row["text"]))

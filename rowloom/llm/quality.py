@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import map_arrow, text_bytes
+from rowloom.llm.common import map_arrow, picked, text_bytes
 
 WIDTH, STRIDE, HALF, FILTERS = 8, 2, 256, 16
 #: Bytes that are convolved at a time.
@@ -117,9 +117,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 700) -> Network:
     Rows of null ids, of null or other labels are not. Without texts of both classes every score is 0.5. The picked labels
     are at most 2 * per_class rows, and so are broadcast.
     """
-    pick = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
-    known = known.withColumn("k", F.row_number().over(pick)).where(F.col("k") <= per_class).drop("k")
+    known = picked(known, "quality", F.xxhash64("doc_id"), "doc_id", per_class)
     rows = docs.select("doc_id", text_bytes(docs["text"]).alias("text")).join(F.broadcast(known), "doc_id").select("text", "quality").collect()
     rows.sort(key=lambda r: (bytes(r["text"]), r["quality"]))
     return Network().fit([bytes(r["text"]) for r in rows], [r["quality"] for r in rows])

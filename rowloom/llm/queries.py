@@ -21,7 +21,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     network = quality.train(docs, labels.where(id_hash_mod(labels["doc_id"], 3) != 1))
-    return quality.score(docs, network, (id_hash_mod(docs["doc_id"], 3) == 1).alias("held_out"))
+    return quality.score(docs, network, F.coalesce(id_hash_mod(docs["doc_id"], 3) == 1, F.lit(False)).alias("held_out"))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_hash_mod(docs["doc_id"], 4) == 2
-    return langid.identify(docs, langid.train(docs.where(~held_out)), held_out.alias("held_out"))
+    return langid.identify(docs, langid.train(docs.where(~held_out)), F.coalesce(held_out, F.lit(False)).alias("held_out"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

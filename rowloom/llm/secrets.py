@@ -1,14 +1,20 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest; DataFrame functions alone.
 
-Candidates are white-space-parted tokens that look like keys: known prefixes, long runs with digits, or whatever is assigned
-to a word like password. Their features are length, character classes and transitions between them, distinct characters,
+Candidates are white-space-parted tokens that look like keys: known prefixes, long runs with digits or with many changes
+between small and capital letters, or whatever is assigned to a word like password; and private-key blocks, which go over
+several lines and are taken whole. Their features are length, character classes and transitions between them, distinct characters,
 coverage by dictionary words, the path that the text came from, and the words beside them. A random forest, trained from
 labelled findings, votes on each; a candidate is a secret if at least THRESHOLD of the trees say so.
 
 The trained trees become nested conditions over an array of feature structs, so that scanning is one projection over the
 table: nothing is shuffled, and a document's candidates never leave its row.
 
-Null texts have no candidates and stay null; null paths count as empty.
+Masking is one pass over the text: a secret is masked wherever it stands as a whole, between other characters than letters
+and digits; of secrets that begin at one place the longest is masked, and masks are not looked at again.
+
+Null texts have no candidates and stay null, empty ones stay empty; null paths count as empty. Rows that repeat come out as
+often. Work and memory are in proportion to a text's length, as patterns try no run of characters twice. Tables without
+rows give none. Kept columns may have any names but __text, findings and redacted.
 """
 
 from __future__ import annotations
@@ -26,7 +32,10 @@ EXAMPLES = "test|spec|example|sample|fixture|mock|doc|readme|tutorial"
 _RUN = "A-Za-z0-9+/_-"
 #: Linear: a run is tried at its beginning only.
 LONG = rf"(?<![{_RUN}])(?=[A-Za-z+/_-]*+[0-9])[{_RUN}]{{16,}}"
-KNOWN = r"AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{20,}|xox[abprs]-[0-9A-Za-z-]{10,}|eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}"
+#: Three changes from small to capital letters or more.
+MIXED = rf"(?<![{_RUN}])(?=(?:[{_RUN}]*?[a-z][A-Z]){{3}})[{_RUN}]{{16,}}"
+BLOCK = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]*+(?:-[^-]++){0,6}-----END [A-Z ]{0,20}PRIVATE KEY-----"
+KNOWN = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{20,}|xox[abprs]-[0-9A-Za-z-]{10,}|eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}"
 ASSIGNED = rf"(?i)(?:{CREDENTIAL})[A-Za-z_]{{0,12}}[\"']?[=:]+[\"']?[^\s\"']{{6,}}"
 NAMES = rf"(?i)(?:{CREDENTIAL})"
 
@@ -75,15 +84,19 @@ def candidates(text: Column, path: Column) -> Column:
 
     def of(all_tokens: Column) -> Column:
         at = lambda i: F.coalesce(F.get(all_tokens, i), F.lit(""))
-        marked = F.transform(all_tokens, lambda t, i: F.when(t.rlike(LONG) | t.rlike(KNOWN) | t.rlike(ASSIGNED) | ((F.char_length(t) >= 6) & at(i - 1).rlike("[=:]$") & F.concat(at(i - 2), at(i - 1)).rlike(NAMES)), i))
+        marked = F.transform(all_tokens, lambda t, i: F.when(t.rlike(LONG) | t.rlike(KNOWN) | t.rlike(MIXED) | t.rlike(ASSIGNED) | ((F.char_length(t) >= 6) & at(i - 1).rlike("[=:]$") & F.concat(at(i - 2), at(i - 1)).rlike(NAMES)), i))
         found = F.filter(marked, lambda i: i.isNotNull())
         with_value = F.transform(found, lambda i: F.struct(at(i).alias("token"), value_of(at(i)).alias("value"), F.concat_ws(" ", at(i - 3), at(i - 2), at(i - 1)).alias("before"), at(i + 1).alias("after")))
         with_value = F.filter(with_value, lambda x: F.char_length(x["value"]) >= 6)
         return F.transform(with_value, lambda x: F.struct(x["value"].alias("value"), features(x["token"], x["value"], x["before"], F.concat_ws(" ", x["before"], x["after"]), path).alias("f")))
 
-    likely = text.rlike(f"{LONG}|{KNOWN}") | text.rlike(NAMES)
+    likely = text.rlike(f"{LONG}|{KNOWN}|{MIXED}") | text.rlike(NAMES)
+    blank = F.lit("")
+    blocks = F.when(text.contains("PRIVATE KEY-----"), F.regexp_extract_all(text, F.lit(BLOCK), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    blocks = F.transform(blocks, lambda b: F.struct(b.alias("value"), features(b, b, blank, blank, path).alias("f")))
     # a transform over one element works the tokens out once
-    return F.when(likely, F.flatten(F.transform(F.array(tokens), of))).otherwise(F.slice(F.flatten(F.transform(F.array(tokens), of)), 1, 0))
+    tokens_found = F.when(likely, F.flatten(F.transform(F.array(tokens), of))).otherwise(F.slice(F.flatten(F.transform(F.array(tokens), of)), 1, 0))
+    return F.concat(blocks, tokens_found)
 
 
 def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
@@ -92,6 +105,7 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     pick = lambda k, *options: F.element_at(F.array(*(F.lit(o) if isinstance(o, str) else o for o in options)), (F.pmod(F.xxhash64("h", F.lit(k)), F.lit(len(options))) + 1).cast("int"))
     mixed = F.regexp_replace(F.base64(F.unhex(F.concat("h", F.sha2(F.col("h").cast("binary"), 256)))), "[+/=]", "")
     upper = F.regexp_replace(F.upper(mixed), "[^A-Z0-9]", "")
+    letters = F.regexp_replace(F.concat(mixed, F.reverse(mixed)), "[0-9]", "")
     part = lambda c, low, size: F.substring(c, low, size)
     cut = lambda c, k, *sizes: pick(k, *(part(c, 1, s) for s in sizes))
     name = pick(1, "password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "auth_token")
@@ -104,6 +118,8 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (F.concat(F.lit("ghp_"), part(mixed, 1, 36)), words(2), words(3), words(5)),
         (F.concat(name, sign, F.lit('"'), cut(mixed, 8, 12, 16, 24, 32), F.lit('"')), words(2), words(3), words(5)),
         (cut(mixed, 9, 20, 32, 40), name, sign, words(5)),
+        (F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), mixed, F.lit("\n"), F.reverse(mixed), F.lit("\n-----END RSA PRIVATE KEY-----")), words(2), words(3), words(5)),
+        (cut(letters, 16, 18, 24, 32), pick(17, "key", "client", "credentials", "signing_key", "token"), sign, words(5)),
         (F.concat(F.lit("eyJ"), part(mixed, 1, 20), F.lit("."), part(mixed, 21, 24), F.lit("."), part(mixed, 45, 20)), F.lit("Authorization:"), F.lit("Bearer"), words(5)),
     ]
     plain = pick(10, "stormlight", "thonthanre", "configuration", "benachrichtigung", "responsibility", "quemente", "enregistrement")
@@ -118,6 +134,8 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (cut(F.regexp_replace(F.concat("h", F.sha2(F.col("id").cast("string").cast("binary"), 512)), "[a-f]", ""), 15, 10, 12, 16, 18), words(2), words(3), words(5)),
         (F.concat(plain, plain, F.lit("2")), pick(14, "token", "secret", "password", "the", "of"), words(3), words(5)),
         (plain, pick(14, "token", "secret", "password", "auth"), F.lit(":"), words(5)),
+        (F.concat(*(F.initcap(pick(k, "get", "config", "value", "default", "name", "file", "user", "item", "report", "page")) for k in (23, 24, 25, 26))), words(2), words(3), words(5)),
+        (F.concat(F.lit("get"), F.initcap(plain), F.initcap(pick(27, "value", "name", "item")), F.initcap(plain)), pick(28, "class", "call", "key", "method"), words(3), words(5)),
         (F.concat(part(mixed, 1, 24), F.lit("==")), pick(11, "hash", "etag", "checksum", "fingerprint"), F.lit(":"), words(5)),
     ]
 
@@ -169,7 +187,9 @@ def scan(docs: DataFrame, forest: list[dict], path: Column | None = None, keep:
     scored = F.transform(found, lambda c: F.struct(c["value"].alias("value"), votes(forest, c["f"]).alias("score")))
     rows = docs.select(*keep, text.alias("__text"), F.coalesce(scored, F.array().cast("array<struct<value:string,score:double>>")).alias("findings"))
     secrets = F.array_distinct(F.transform(F.filter("findings", lambda x: x["score"] >= THRESHOLD), lambda x: x["value"]))
-    # longer ones first, so that none is masked in part
+    # longer ones first, as the first that fits is taken
     ordered = F.reverse(F.array_sort(F.transform(secrets, lambda s: F.struct(F.char_length(s).alias("n"), s.alias("s")))))
-    redacted = F.when(F.size(secrets) == 0, F.col("__text")).otherwise(F.aggregate(ordered, F.col("__text"), lambda t, s: F.replace(t, s["s"], F.lit(MASK))))
+    spelled = F.array_join(F.transform(ordered, lambda s: F.regexp_replace(s["s"], "([^A-Za-z0-9])", r"\\$1")), "|")
+    pattern = F.concat(F.lit("(?<![A-Za-z0-9])(?:"), spelled, F.lit(")(?![A-Za-z0-9])"))
+    redacted = F.when(F.size(secrets) == 0, F.col("__text")).otherwise(F.regexp_replace("__text", pattern, F.lit(MASK)))
     return rows.select(*keep, "findings", redacted.alias("redacted"))
