@@ -822,7 +822,7 @@ class Parser:
             if c.peek().kind in ("name",) and c.peek(1).text == "=":
                 key = c.name()
                 c.k += 1
-                if c.peek().kind == "name" and key in ("data", "out", "base", "compare", "dupout", "lookup", "outp", "cntlin"):
+                if c.peek().kind == "name" and key in ("data", "out", "base", "compare", "dupout", "lookup", "outp", "cntlin", "outtree", "outsurv", "outest", "outstat"):
                     options[key] = c.ref()
                 elif c.peek().kind in ("num", "str"):
                     options[key] = c.next().value

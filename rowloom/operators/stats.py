@@ -590,18 +590,19 @@ def hpsplit(ds: Dataset, class_: str, xs: list[str], depth: int = 10, class_vars
     return {"importance": table(ds.df.sparkSession, ["variable", "importance"], [(n, float(v)) for (n, _), v in zip(terms, importance, strict=True)]), "out": ds.with_df(made), "tree": model.toDebugString}
 
 
-def cluster(ds: Dataset, var: list[str], method: str = "average", most: int = 5000) -> Dataset:
-    """The merge history of hierarchical clustering by Lance-Williams updates; it needs all distances, so at most `most` rows."""
-    rows = complete(ds, var).orderBy(*(ds.sort_columns() or [F.lit(0)])).select(*var).limit(most + 1).collect()
+def cluster(ds: Dataset, var: list[str], method: str = "average", most: int = 5000, label: str | None = None) -> Dataset:
+    """The merge history of hierarchical clustering by Lance-Williams updates; it needs all distances, so at most `most` rows. label: a variable that names the rows, else their numbers do."""
+    rows = complete(ds, var).orderBy(*(ds.sort_columns() or [F.lit(0)])).select(*var, *([label] if label else [])).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"hierarchical clustering takes at most {most} rows; summarise with FASTCLUS first")
-    x = np.array([list(r) for r in rows], float)
+    x = np.array([list(r)[: len(var)] for r in rows], float)
     n = len(x)
+    own = [str(int(v) if isinstance(v := r[-1], float) and v == int(v) else v).strip() for r in rows] if label else [f"ob{i + 1}" for i in range(n)]
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
     if method in ("ward", "centroid"):
         d = d**2
     np.fill_diagonal(d, np.inf)
-    sizes, labels, alive, out = [1.0] * n, [f"ob{i + 1}" for i in range(n)], list(range(n)), []
+    sizes, labels, alive, out = [1.0] * n, own, list(range(n)), []
     for step in range(n - 1):
         sub = d[np.ix_(alive, alive)]
         a, b = np.unravel_index(sub.argmin(), sub.shape)

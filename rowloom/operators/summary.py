@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.functions import dist
+from rowloom.functions.values import number_text
 from rowloom.operators.tables import plain
 from rowloom.plans.dataset import Dataset, sort_key
 
@@ -187,27 +188,29 @@ def normality(ds: Dataset, v: str) -> dict[str, float]:
     return {"n": float(n), "d": float(d)}
 
 
-def tabulate(ds: Dataset, row: str, col: str | None, var: str, stats: list[str]) -> Dataset:
-    """A row for each level of row and statistic (_stat_), a column for each level of col. pctsum is of the grand total."""
+def tabulate(ds: Dataset, rows: list[str], cols: list[str], var: str, stats: list[str]) -> Dataset:
+    """A row for each combination of levels of rows and statistic (_stat_), a column for each one of cols, named by its levels joined by _. pctsum is of the grand total."""
     there = ds.df
-    for c in [row] + ([col] if col else []):
+    text = lambda c: F.trim(F.col(c)) if ds.kind(c) == "char" else number_text(F.col(c))
+    for c in [*rows, *cols]:
         there = there.where(F.trim(F.col(c)) != "" if ds.kind(c) == "char" else F.col(c).isNotNull())
     total = there.agg(F.sum(var)).head()[0] if "pctsum" in stats else None
     stat = lambda s: 100 * F.sum(var) / total if s == "pctsum" else statistic(s, var)
-    if col is None:
-        out = there.groupBy(row).agg(*(stat(s).alias(f"{var}_{s}") for s in stats))
-        return plain(out, [row])
-    levels = [r[0] for r in there.select(col).distinct().orderBy(col).collect()]  # they become columns
-    wide = there.groupBy(row).pivot(col, levels).agg(*(stat(s).alias(s) for s in stats))
-    text = lambda x: str(int(x)) if isinstance(x, float) and x == int(x) else str(x)
+    if not cols:
+        out = there.groupBy(*rows).agg(*(stat(s).alias(f"{var}_{s}") for s in stats))
+        return plain(out, rows)
+    there = there.withColumn("__col", F.concat_ws("_", *map(text, cols)))
+    levels = list(dict.fromkeys(r[-1] for r in there.select(*cols, "__col").distinct().orderBy(*cols).collect()))  # they become columns
+    wide = there.groupBy(*rows).pivot("__col", levels).agg(*(stat(s).alias(s) for s in stats))
     parts = []
     for i, s in enumerate(stats):
-        cells = [F.col(f"`{lv}_{s}`" if len(stats) > 1 else f"`{lv}`").alias(text(lv).lower()) for lv in levels]
-        parts.append(wide.select(row, F.lit(s).alias("_stat_"), *cells, F.lit(float(i)).alias("__i")))
+        cells = [F.col(f"`{lv}_{s}`" if len(stats) > 1 else f"`{lv}`").alias(lv.lower()) for lv in levels]
+        parts.append(wide.select(*rows, F.lit(s).alias("_stat_"), *cells, F.lit(float(i)).alias("__i")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
-    return Dataset(out.withColumn("__o1", F.col(row)).withColumnRenamed("__i", "__o0"), [("__o0", True), ("__o1", True)])
+    order = {f"__o{k + 1}": F.col(c) for k, c in enumerate(rows)}
+    return Dataset(out.withColumns(order).withColumnRenamed("__i", "__o0"), [("__o0", True), *((c, True) for c in order)])
 
 
 def report(ds: Dataset, columns: list[str], group: list[str] = (), analysis: dict[str, str] | None = None, breaks: list[str] = (), grand: bool = False) -> Dataset:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.functions.formats import apply_format
 from rowloom.functions.values import Val, number_text, text
-from rowloom.plans.dataset import Dataset, numbered, sort_key
+from rowloom.plans.dataset import Dataset, numbered, running, sort_key
 from rowloom.plans.sources import concatenate
 
 
@@ -39,11 +39,26 @@ def append(base: Dataset | None, data: Dataset) -> Dataset:
     return data if base is None else concatenate([base, data])
 
 
+def _ranked(df: DataFrame, v: str, name: str, descending: bool, groups: int | None) -> DataFrame:
+    """Average ranks over all rows: from a running sum over values' counts, sorted by ranges, so that no task gets all rows."""
+    counts = df.where(F.col(v).isNotNull()).groupBy(F.col(v).alias("__v")).agg(F.count("*").cast("double").alias("__c"))
+    own = running(numbered(Dataset(counts.withColumn("__o0", F.col("__v")), [("__o0", not descending)])), F.col("__c"), "sum", "__upto").df
+    value = F.col("__upto") - (F.col("__c") - 1) / 2
+    if groups:
+        n = counts.agg(F.sum("__c")).head()[0] or 1.0
+        value = F.least(F.floor((value - 1) * groups / n), F.lit(groups - 1)).cast("double")
+    found = own.select(F.col("__v"), value.alias("__rank"))
+    return df.join(found, F.col(v) == F.col("__v"), "left").withColumn(name, F.col("__rank")).drop("__v", "__rank")
+
+
 def rank(ds: Dataset, var: list[str], ranks: list[str] | None = None, by: list[str] = (), descending: bool = False, groups: int | None = None) -> Dataset:
     """Average ranks of each variable within by; missing values have none. groups: numbers from 0 of as many groups of near equal size."""
     df = ds.df
     keys = group_keys(ds, list(by))
     for v, name in zip(var, ranks or var, strict=False):
+        if not keys:
+            df = _ranked(df, v, name, descending, groups)
+            continue
         there = F.col(v).isNotNull()
         inside = Window.partitionBy(*keys, there)
         ordered = inside.orderBy(F.col(v).desc() if descending else F.col(v).asc())
@@ -111,12 +126,14 @@ def transpose(ds: Dataset, var: list[str] | None = None, by: list[str] = (), id_
             rows = numbered(ds).df.withColumn("__c", F.col("__n").cast("long").cast("string"))
         stem = prefix or "col"
     else:
+        ds = ds if all(up for _, up in ds.order) else numbered(ds)
         rows = ds.df.withColumn("__c", F.lower(F.trim(text(ds.val(id_)) if ds.kind(id_) == "char" else number_text(F.col(id_)))))
         stem = prefix
     names = [r[0] for r in rows.select("__c").distinct().collect()]  # they become columns, so they are few
     names.sort(key=lambda c: (0, int(c), c) if id_ is None else (1, 0, c))
-    long = rows.select(*by, "__c", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(v).alias("n"), value(v).alias("v")) for i, v in enumerate(var)))).alias("x"))
-    wide = long.groupBy(*by, F.col("x.i").alias("__i"), F.col("x.n").alias(name)).pivot("__c", names).agg(F.last(F.col("x.v")))
+    last = F.struct(*(F.col(c) for c, _ in ds.order)) if id_ is not None and ds.order else F.lit(0)
+    long = rows.select(*by, "__c", last.alias("__at"), F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(v).alias("n"), value(v).alias("v")) for i, v in enumerate(var)))).alias("x"))
+    wide = long.groupBy(*by, F.col("x.i").alias("__i"), F.col("x.n").alias(name)).pivot("__c", names).agg(F.max_by(F.col("x.v"), F.col("__at")))  # of repeated ids the last row counts
     out = wide.select(*by, name, "__i", *(F.col(f"`{c}`").alias(f"{stem}{c}{suffix}") for c in names))
     if chars:
         out = out.fillna("")
@@ -124,18 +141,30 @@ def transpose(ds: Dataset, var: list[str] | None = None, by: list[str] = (), id_
     return Dataset(out.withColumns({f"__o{i}": F.col(f"`{c}`") for i, c in enumerate(order)}).drop("__i"), [(f"__o{i}", True) for i in range(len(order))])
 
 
-def compare(base: Dataset, other: Dataset, id_: list[str] = (), var: list[str] | None = None, criterion: float = 0.0) -> Dataset:
-    """(_id_ or id columns, _var_, _base_, _compare_): values that differ by more than criterion, rows matched by id and occurrence, or by position."""
-    id_ = list(id_)
+#: What TRANSFORM may name; null where the function has no value.
+TRANSFORMS = {"log": lambda x: F.when(x > 0, F.log(x)), "sqrt": lambda x: F.when(x >= 0, F.sqrt(x)), "exp": F.exp, "abs": F.abs}
+
+
+def compare(base: Dataset, other: Dataset, id_: list[str] = (), var: list[str] | None = None, criterion: float = 0.0, by: list[str] = (), transforms: dict[str, str] | None = None) -> Dataset:
+    """(by columns, id columns or _obs_, _var_, _base_, _compare_): values that differ by more than criterion, rows of a by group matched by id and occurrence, or by position."""
+    by, transforms = list(by), transforms or {}
+    unknown = set(transforms.values()) - set(TRANSFORMS)
+    if unknown:
+        raise ValueError(f"TRANSFORM knows {', '.join(TRANSFORMS)}, not {', '.join(sorted(unknown))}")
+    positions = not id_
+    id_ = [*by, *id_]
     var = var or [c for c in base.columns if c in other.columns and c not in id_]
 
+    def value(v: str) -> Column:
+        return TRANSFORMS[transforms[v]](F.col(v)) if v in transforms else F.col(v)
+
     def side(ds: Dataset, mark: str) -> DataFrame:
         if id_:
             k = F.row_number().over(Window.partitionBy(*group_keys(ds, id_)).orderBy(*(ds.sort_columns() or [F.lit(0)])))
             rows = ds.df.withColumn("__k", k.cast("double"))
         else:
             rows = numbered(ds).df.withColumn("__k", F.col("__n"))
-        return rows.select(*(F.col(c).alias(f"{mark}{c}") for c in id_), F.col("__k").alias(f"{mark}k"), *(F.col(v).alias(f"{mark}_{v}") for v in var))
+        return rows.select(*(F.col(c).alias(f"{mark}{c}") for c in id_), F.col("__k").alias(f"{mark}k"), *(value(v).alias(f"{mark}_{v}") for v in var))
 
     a, b = side(base, "__a"), side(other, "__b")
     match = F.col("__ak") == F.col("__bk")
@@ -153,14 +182,16 @@ def compare(base: Dataset, other: Dataset, id_: list[str] = (), var: list[str] |
             shown = (number_text(x), number_text(y))
         parts.append(F.when(differs, F.struct(F.lit(i).alias("i"), F.lit(v).alias("v"), shown[0].alias("a"), shown[1].alias("b"))))
     rows = both.select(*(F.col(f"__a{c}").alias(c) for c in id_), F.col("__ak").alias("__k"), F.explode(F.array_compact(F.array(*parts))).alias("d"))
-    keys = id_ or ["_obs_"]
-    out = rows.select(*(F.col(c) for c in id_), *([] if id_ else [F.col("__k").alias("_obs_")]), F.col("d.v").alias("_var_"), F.col("d.a").alias("_base_"), F.col("d.b").alias("_compare_"), F.col("__k").alias("__o_k"), F.col("d.i").alias("__o_i"))
+    keys = [*id_, "_obs_"] if positions else id_
+    out = rows.select(*(F.col(c) for c in id_), *([F.col("__k").alias("_obs_")] if positions else []), F.col("d.v").alias("_var_"), F.col("d.a").alias("_base_"), F.col("d.b").alias("_compare_"), F.col("__k").alias("__o_k"), F.col("d.i").alias("__o_i"))
     return Dataset(out.withColumns({f"__o{i}": F.col(c) for i, c in enumerate(keys)}), [*((f"__o{i}", True) for i in range(len(keys))), ("__o_k", True), ("__o_i", True)])
 
 
 def contents(ds: Dataset, spark) -> Dataset:
-    rows = [(float(i + 1), c, ds.kind(c), ds.formats.get(c, ""), ds.labels.get(c, "")) for i, c in enumerate(ds.columns)]
-    return plain(spark.createDataFrame(rows, "num double, name string, type string, format string, label string"), ["num"])
+    """A row for each variable; nobs is the number of observations."""
+    nobs = float(ds.df.count())
+    rows = [(float(i + 1), c, ds.kind(c), ds.formats.get(c, ""), ds.labels.get(c, ""), nobs) for i, c in enumerate(ds.columns)]
+    return plain(spark.createDataFrame(rows, "num double, name string, type string, format string, label string, nobs double"), ["num"])
 
 
 def printed(ds: Dataset, var: list[str] | None = None, formats: dict[str, str] | None = None, users: dict | None = None, by: list[str] = (), obs: int | None = None) -> DataFrame:

@@ -113,10 +113,9 @@ def numbered(ds: Dataset) -> Dataset:
     for p, n in sizes:
         offsets[p] = total
         total += n
-    pairs = [F.lit(x) for p, n in offsets.items() for x in (p, n)]
-    offset = F.try_element_at(F.create_map(*pairs), F.col("__p")) if pairs else F.lit(0)
-    n = F.col("__s").bitwiseAND(F.lit((1 << 33) - 1)) + offset + 1
-    df = rows.withColumn("__n", n.cast("double")).drop("__s", *(c for c, _ in ds.order))
+    before = rows.sparkSession.createDataFrame(list(offsets.items()), "__p int, __before long")  # one row for each task of the sort
+    n = F.col("__s").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__before") + 1
+    df = rows.join(F.broadcast(before), "__p").withColumn("__n", n.cast("double")).drop("__s", "__before", *(c for c, _ in ds.order))
     return Dataset(df, [("__n", True)], dict(ds.formats), dict(ds.labels))
 
 

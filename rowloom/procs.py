@@ -47,8 +47,8 @@ class Spec:
     def flag(self, name: str) -> bool:
         return name in self.options["flags"] or name in self.options
 
-    def data(self) -> Dataset:
-        ref = self.options.get("data") or Ref("_last_")
+    def data(self, key: str = "data") -> Dataset:
+        ref = self.options.get(key) or Ref("_last_")
         ds = sources.with_options(self.session.dataset(ref.name), ref, self.session.formats)
         where = self.cursor("where")
         if where is not None:
@@ -153,7 +153,7 @@ def _sort(s: Spec) -> None:
 def _append(s: Spec) -> None:
     base = s.options["base"]
     have = base.name in s.session.tables or "." in base.name
-    s.session.put(base.name, tables.append(s.session.dataset(base.name) if have else None, s.data()))
+    s.session.put(base.name, tables.append(sources.with_options(s.session.dataset(base.name), base, s.session.formats) if have else None, s.data()))
 
 
 @proc("print")
@@ -226,8 +226,21 @@ def _surveyselect(s: Spec) -> None:
 
 @proc("compare")
 def _compare(s: Spec) -> None:
-    base, other = s.session.dataset(s.options["base"].name), s.session.dataset(s.options["compare"].name)
-    out = tables.compare(base, other, s.names("id", base), s.names("var", base) or None, float(s.options.get("criterion") or 0))
+    base, other = s.data("base"), s.data("compare")
+    by, down = s.by()
+    transforms: dict[str, str] = {}
+    for c in s.cursors("transform"):
+        names: list[str] = []
+        while not c.done():
+            if c.take("="):
+                function = c.name()
+                transforms |= {n: function for n in sources.resolve(names, base.columns)}
+                names = []
+            else:
+                names.append(c.name())
+        if names:
+            raise ValueError("TRANSFORM needs variables = function")
+    out = tables.compare(base, other, s.names("id", base), s.names("var", base) or None, float(s.options.get("criterion") or 0), by, transforms)
     s.put(s.out(), out)
     s.show("Differences", out)
 
@@ -421,11 +434,16 @@ def _tabulate(s: Spec) -> None:
     class_, var = s.classes(ds), s.names("var", ds)
     row, _, rest = text.partition(",")
     words = re.findall(r"[a-z_]\w*", rest or row)
-    measured = [w for w in words if w in var]
-    stats_ = [w for w in words if w not in class_ and w not in var] or ["sum"]
-    col = next((w for w in words if w in class_), None) if rest else None
-    rows = next((w for w in re.findall(r"[a-z_]\w*", row) if w in class_), class_[0])
-    made = summary.tabulate(ds, rows, col, (measured or var)[0], stats_)
+    first = re.findall(r"[a-z_]\w*", row)
+    measured = list(dict.fromkeys(w for w in [*first, *words] if w in var)) or var[:1]
+    stats_ = list(dict.fromkeys(w for w in [*first, *words] if w not in class_ and w not in var)) or ["sum"]
+    if not measured:
+        raise ValueError("TABULATE needs an analysis variable: add VAR, or var*statistic on one axis")
+    if len(measured) > 1:
+        raise ValueError(f"TABULATE takes one analysis variable in a TABLE statement, not {' '.join(measured)}: write one TABULATE for each")
+    rows = [w for w in first if w in class_]
+    cols = [w for w in words if w in class_] if rest else []
+    made = summary.tabulate(ds, rows or class_[:1], cols, measured[0], stats_)
     s.put(s.out(), made)
     s.show("Table", made)
 
@@ -647,7 +665,7 @@ def _fastclus(s: Spec) -> None:
 @proc("cluster")
 def _cluster(s: Spec) -> None:
     ds = s.data()
-    made = stats.cluster(ds, s.names("var", ds), str(s.options.get("method") or "average"))
+    made = stats.cluster(ds, s.names("var", ds), str(s.options.get("method") or "average"), label=next(iter(s.names("id", ds)), None))
     s.put(s.options.get("outtree") or s.out(), made)
     s.show("Merges", made)
 

@@ -96,6 +96,68 @@ def _asof(session, text: str) -> str:
     return text[: found.start()] + name + " " + text[found.end() :]
 
 
+#: Codes of strftime and what date_format calls them.
+CODES = {"Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "H": "HH", "I": "hh", "M": "mm", "S": "ss", "p": "a", "b": "MMM", "B": "MMMM", "a": "EEE", "A": "EEEE", "j": "DDD"}
+
+
+def _strftime(text: str) -> str:
+    """strftime(value, 'codes') as date_format."""
+    while found := re.search(r"\bstrftime\s*\(", text, re.IGNORECASE):
+        k, depth, comma = found.end(), 1, -1
+        while depth and k < len(text):
+            quoted = _PIECES.match(text, k)
+            if quoted:
+                k = quoted.end()
+                continue
+            depth += (text[k] == "(") - (text[k] == ")")
+            if depth == 1 and text[k] == ",":
+                comma = k
+            k += 1
+        value, codes = text[found.end() : comma], text[comma + 1 : k - 1].strip()
+        if comma < 0 or codes[:1] != "'":
+            raise ValueError("strftime needs a value and quoted codes")
+        plain = re.split(r"%(.)", codes[1:-1])
+        unknown = [c for c in plain[1::2] if c not in CODES and c != "%"]
+        if unknown:
+            raise ValueError(f"strftime has no code %{unknown[0]} here")
+        pieces = [CODES.get(x, "%") if k % 2 else re.sub(r"[A-Za-z]+", lambda m: f"''{m[0]}''", x) for k, x in enumerate(plain)]
+        text = f"{text[: found.start()]}date_format({value}, '{''.join(pieces)}'){text[k:]}"
+    return text
+
+
+def _nulls_last(text: str) -> str:
+    """ORDER BY with nulls last wherever it does not say."""
+    out, at = [], 0
+    for found in re.finditer(r"\border\s+by\b", text, re.IGNORECASE):
+        if any(q.start() <= found.start() < q.end() for q in _PIECES.finditer(text)):
+            continue
+        k, depth, begin = found.end(), 0, found.end()
+        out.append(text[at : found.end()])
+        while k < len(text):
+            quoted = _PIECES.match(text, k)
+            if quoted:
+                k = quoted.end()
+                continue
+            depth += (text[k] == "(") - (text[k] == ")")
+            stop = depth < 0 or text[k] == ";" or not depth and text[k - 1].isspace() and re.match(r"(?:limit|offset|rows|range|groups|qualify|union|intersect|except)\b", text[k:], re.IGNORECASE)
+            if stop or not depth and text[k] == ",":
+                out.append(_nulls_item(text[begin:k]))
+                begin = k
+            if stop:
+                break
+            k += 1
+        else:
+            out.append(_nulls_item(text[begin:]))
+            begin = len(text)
+        at = begin
+    return "".join([*out, text[at:]])
+
+
+def _nulls_item(item: str) -> str:
+    bare = item.rstrip()
+    return item if re.search(r"\bnulls\s+(first|last)$", bare, re.IGNORECASE) or bare.lstrip(", ").lower() == "all" else bare + " NULLS LAST" + item[len(bare) :]
+
+
 def translated(session, text: str, known: list[str]) -> str:
     def date(m: re.Match) -> str:
         return repr(date_literal(m[1], m[2].lower()))
@@ -107,6 +169,7 @@ def translated(session, text: str, known: list[str]) -> str:
         s = re.sub(r"\bexclude\s*\(", "EXCEPT (", s, flags=re.IGNORECASE)
         s = re.sub(r"\bquantile_cont\s*\(", "percentile(", s, flags=re.IGNORECASE)
         s = re.sub(r"\bcalculated\s+", "", s, flags=re.IGNORECASE)
+        s = re.sub(r"\b(\w+)\(([^()]*)\)\s*filter\s*\(\s*where\s+([^()]*)\)(?=\s*over\b)", lambda m: f"{m[1]}(CASE WHEN {m[3]} THEN {'1' if m[2].strip() == '*' else m[2]} END)", s, flags=re.IGNORECASE)
         s = re.sub(r"\bwork\.(\w+)", r"\1", s, flags=re.IGNORECASE)
         s = re.sub(r"([\w.)]+)\s*//\s*([\w.(]+)", r"floor(\1 / \2)", s)
         for n in known:
@@ -114,8 +177,8 @@ def translated(session, text: str, known: list[str]) -> str:
                 s = re.sub(rf"\b{re.escape(n)}\b", n.replace(".", "__"), s, flags=re.IGNORECASE)
         return s
 
-    text = outside_quotes(text, words)
-    return _qualify(_asof(session, text))
+    text = outside_quotes(_strftime(text), words)
+    return _nulls_last(_qualify(_asof(session, text)))
 
 
 def run_sql(session, text: str) -> None:
@@ -186,7 +249,14 @@ def query(session, text: str, names: list[str]) -> DataFrame:
     found = re.match(r"(.*?)\bouter\s+union\s+corr(?:responding)?\b(.*)$", text, re.IGNORECASE | re.DOTALL) or re.match(r"(.*?)\bunion\s+all\s+by\s+name\b(.*)$", text, re.IGNORECASE | re.DOTALL)
     if found:
         return query(session, found[1], names).unionByName(query(session, found[2], names), allowMissingColumns=True)
-    return session.spark.sql(translated(session, text, names))
+    conf = session.spark.conf
+    before = conf.get("spark.sql.ansi.enabled")
+    # what a division or cast cannot give is missing; an expression keeps the mode that it was analysed in
+    conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        return session.spark.sql(translated(session, text, names))
+    finally:
+        conf.set("spark.sql.ansi.enabled", before)
 
 
 def result(session, text: str, names: list[str]) -> Dataset:
