@@ -49,13 +49,13 @@ def transcripts(turns: DataFrame, part: int = PART) -> DataFrame:
     texts are empty, null turn numbers count as 0, and null or unknown roles as user. Conversations without id make one.
     """
     role = F.when(F.col("role").isin(*ROLES), F.col("role")).otherwise("user")
-    rows = turns.select("conv_id", F.coalesce("turn", F.lit(0)).alias("turn"), role.alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    rows = turns.select("conv_id", F.coalesce("turn", F.lit(0)).alias("turn"), role.alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     style = F.pmod(F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).cast("binary")), F.lit(len(STYLES)))
     marks = F.array(*(F.array(*map(F.lit, s)) for s in STYLES))
     mark = F.get(F.get(marks, style.cast("int")), F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")).cast("int") - 1)
     bare = F.pmod(F.crc32(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).cast("binary")), F.lit(8)) == 0
     piece = F.concat(F.when(bare, F.lit("\n")).otherwise(mark), F.col("text"))
-    grouped = rows.groupBy("conv_id", F.floor(F.col("turn") / part).alias("part")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", piece.alias("piece")))).alias("t"))
+    grouped = rows.groupBy("conv_id", F.floor(F.col("turn") / part).alias("part")).agg(F.array_sort(F.collect_set(F.struct("turn", "role", piece.alias("piece")))).alias("t"))
     pieces = F.transform("t", lambda x: x["piece"])
     return grouped.select("conv_id", "part", F.transform("t", lambda x: x["role"]).alias("roles"), pieces.alias("pieces"), F.array_join(pieces, "\n").alias("text"))
 
