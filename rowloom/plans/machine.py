@@ -294,6 +294,9 @@ class Machine:
     _e_fmt = _e_num
 
     def _e_var(self, n):
+        if n.endswith(".num_items"):
+            table = n.removesuffix(".num_items")
+            return lambda: float(len(self.tables[table].all()))
         return lambda: self.v.get(n)
 
     def _e_flag(self, which, n):
@@ -723,8 +726,9 @@ def _kinds(step: DataStep, plan: ColumnStep, context: Context) -> dict[str, str]
     for s in walk(step.body):
         if s.kind == "set":
             for r in s["refs"]:
-                for c in context.dataset(r.name).columns:
-                    kinds.setdefault(c, context.dataset(r.name).kind(c))
+                t = sources.with_options(context.dataset(r.name), r)
+                for c in t.columns:
+                    kinds.setdefault(c, t.kind(c))
         elif s.kind == "declare" and s["options"].get("dataset"):
             t = context.dataset(s["options"]["dataset"][1].lower())
             for c in t.columns:
@@ -750,11 +754,23 @@ def _kinds(step: DataStep, plan: ColumnStep, context: Context) -> dict[str, str]
                     for h in hashes:
                         if name in context.dataset(h).columns:
                             kinds.setdefault(name, context.dataset(h).kind(name))
-        elif e[0] == "var":
+        elif e[0] == "var" and "." not in e[1]:  # else it is an attribute of a hash object
             kinds.setdefault(e[1], "num")
     return kinds
 
 
+#: Statements that look at no other row.
+ALONE = {"set", "merge", "update", "by", "where", "subset", "assign", "if", "do", "select", "output", "delete", "return", "leave", "continue", "array", "keep", "drop", "rename", "length", "format", "informat", "label", "attrib", "skip"}
+
+
+def independent(step: DataStep, top: Stmt | None) -> bool:
+    """Whether no row of the step bears on another, so that rows can be worked on wherever they are."""
+    for s in walk(step.body):
+        if s.kind not in ALONE or (s.kind in ("set", "merge", "update") and s is not top) or (s.kind == "array" and (s["initial"] or s["temporary"])):
+            return False
+    return not any(e[0] == "method" or (e[0] == "call" and re.match(r"(?:lag|dif)\d*$|ran|rand", e[1])) for e in expressions([s.args for s in walk(step.body)]))
+
+
 def run(step: DataStep, context: Context, given: Dataset | None = None) -> tuple[dict[str, Dataset], list[tuple[str, str]]]:
     """The outputs, and (kind, text) of lines, macro variables and program text that the step produced, in order."""
     plan = ColumnStep(step, context, given)
@@ -830,7 +846,10 @@ def run(step: DataStep, context: Context, given: Dataset | None = None) -> tuple
             if rows:
                 yield pd.DataFrame(rows, columns=schema.names)
 
-    ordered = ds.df.select(*source, *flags, "__n").repartition(1).sortWithinPartitions("__n")
+    ordered = ds.df.select(*source, *flags, "__n")
+    if nested_only or not independent(step, top):
+        # one ordered stream, as what a row leaves behind is for the next
+        ordered = ordered.repartition(1).sortWithinPartitions("__n")
     made = ordered.mapInPandas(work, schema)
     from rowloom.plans.dataset import stored
 

@@ -249,6 +249,63 @@ call("fastclus_means", "part", lambda s: stats.fastclus(s.dataset("part"), ["p_s
 call("cluster_merges", "nation", lambda s: stats.cluster(s.dataset("nation"), ["n_nationkey", "n_regionkey"], "ward").visible(), None, digits=4)
 call("arima_forecast", "orders", lambda s: stats.arima(s.run("data d; set orders; m = intnx('month', datepart(o_orderdate), 0); run; proc means data=d sum noprint; class m; var o_totalprice; output out=mm; run; proc sort data=mm; by m; run;").dataset("mm"), "o_totalprice_sum", 1, 0, 0, 6)["forecast"].visible(), None, digits=0)
 
+# functions, statements and procedures beside those above
+
+SECONDS = "date_diff('second', TIMESTAMP '1960-01-01', CAST({} AS TIMESTAMP))"
+program("fn_string_more", "customer", "data out; set customer(keep=c_custkey c_name c_mktsegment); a = lowcase(c_mktsegment); b = trim(c_name) || '!'; c = strip('  ' || c_mktsegment); d = left('   ' || c_name); e = compbl('a    b ' || c_name); f = lengthn(c_name); g = indexc(c_name, '123'); h = findw('the ' || trim(c_mktsegment) || ' end', 'end'); i = cat(c_name, c_mktsegment); j = cats(c_name, c_mktsegment); k = quote(trim(c_mktsegment)); l = dequote(quote(trim(c_name))); m = prxmatch('/0+1/', c_name); n = repeat('ab', 2); drop c_name c_mktsegment; run;",
+    "SELECT c_custkey::DOUBLE AS c_custkey, lower(c_mktsegment) AS a, c_name || '!' AS b, c_mktsegment AS c, c_name AS d, 'a b ' || c_name AS e, length(c_name)::DOUBLE AS f, length(regexp_extract(c_name, '^[^123]*[123]'))::DOUBLE AS g, (length(c_mktsegment) + 6)::DOUBLE AS h, c_name || c_mktsegment AS i, c_name || c_mktsegment AS j, '\"' || c_mktsegment || '\"' AS k, c_name AS l, (CASE WHEN regexp_matches(c_name, '0+1') THEN length(regexp_extract(c_name, '^(.*?)0+1', 1)) + 1 ELSE 0 END)::DOUBLE AS m, 'ababab' AS n FROM customer")
+program("fn_numeric_more", "part", "data out; set part(keep=p_partkey p_size p_retailprice); if mod(p_partkey, 4) = 0 then z = .; else z = p_size; a = exp(p_size / 50); b = log10(p_retailprice); c = nmiss(z, p_size, .); d = n(z, p_size); drop p_retailprice; run;",
+    "SELECT p_partkey::DOUBLE AS p_partkey, p_size::DOUBLE AS p_size, z::DOUBLE AS z, round(exp(p_size / 50.0), 4) AS a, round(log10(p_retailprice), 4) AS b, ((z IS NULL)::INT + 1)::DOUBLE AS c, ((z IS NOT NULL)::INT + 1)::DOUBLE AS d FROM (SELECT *, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_size END AS z FROM part)", digits=4)
+program("fn_time", "events", "data out; set events(keep=event_id ts); t = timepart(ts); h = hour(ts); m = minute(ts); s = int(second(ts)); x = hms(1, 2, 3); y = dhms(datepart(ts), 0, 1, 0) - datepart(ts) * 86400; d = '01jan1960:00:01:00'dt; e = '12:30't; f = '05mar2024'd; t = int(t); drop ts; run;",
+    f"SELECT event_id::DOUBLE AS event_id, ({SECONDS.format('ts')} % 86400)::DOUBLE AS t, hour(ts)::DOUBLE AS h, minute(ts)::DOUBLE AS m, floor(second(ts))::DOUBLE AS s, 3723.0::DOUBLE AS x, 60.0::DOUBLE AS y, 60.0::DOUBLE AS d, 45000.0::DOUBLE AS e, date_diff('day', DATE '1960-01-01', DATE '2024-03-05')::DOUBLE AS f FROM events")
+program("formats_more", "orders", "data out; set orders(keep=o_orderkey o_totalprice o_orderstatus o_orderdate); a = put(o_orderkey, 8.); b = put(o_totalprice, 12.1); c = put(o_orderstatus, $1.); d = put(datepart(o_orderdate), ddmmyy10.); e = put(datepart(o_orderdate), monyy7.); f = put(datepart(o_orderdate), worddate.); g = put(mod(o_orderkey, 86400), time8.); h = input('1,234', comma8.) + input('05/03/2024', ddmmyy10.); a = strip(a); b = strip(b); f = strip(f); g = strip(g); keep o_orderkey a b c d e f g h; run;",
+    "SELECT o_orderkey::DOUBLE AS o_orderkey, o_orderkey::VARCHAR AS a, printf('%.1f', o_totalprice) AS b, o_orderstatus AS c, strftime(o_orderdate, '%d/%m/%Y') AS d, upper(strftime(o_orderdate, '%b%Y')) AS e, strftime(o_orderdate, '%B ') || day(o_orderdate) || ', ' || year(o_orderdate) AS f, printf('%d:%02d:%02d', (o_orderkey % 86400) // 3600, (o_orderkey % 3600) // 60, o_orderkey % 60) AS g, (1234 + date_diff('day', DATE '1960-01-01', DATE '2024-03-05'))::DOUBLE AS h FROM orders")
+program("where_contains_like", "part", "data out; set part(keep=p_partkey p_name p_type); where p_name contains 'a' and p_type like '%S%'; run;",
+    "SELECT p_partkey::DOUBLE AS p_partkey, p_name, p_type FROM part WHERE p_name LIKE '%a%' AND p_type LIKE '%S%'")
+program("return_and_attributes", "orders", "data out; length size $ 5; set orders(keep=o_orderkey o_totalprice); attrib k label='key' format=8.; label o_totalprice='price'; k = o_orderkey + 1; if o_totalprice < 100000 then do; size = 'small'; return; end; size = 'large'; twice = o_totalprice * 2; rename k=next; run;",
+    "SELECT CASE WHEN o_totalprice < 100000 THEN 'small' ELSE 'large' END AS size, o_orderkey::DOUBLE AS o_orderkey, o_totalprice, (o_orderkey + 1)::DOUBLE AS next, CASE WHEN o_totalprice < 100000 THEN NULL ELSE o_totalprice * 2 END AS twice FROM orders")
+program("do_over_list_and_dim", "part", "data out; set part(keep=p_partkey p_size); array v p_size w; w = 5; total = 0; do over v; total = total + v; end; do k = 1, 3, 9; total = total + k; end; array a[3] a1-a3 (1 2 3); d = dim(a) + hbound(a) * 10 + lbound(a) * 100; keep p_partkey total d; run;",
+    "SELECT p_partkey::DOUBLE AS p_partkey, (p_size + 18)::DOUBLE AS total, 133.0::DOUBLE AS d FROM part")
+program("do_while_rows", "part", "data out; set part(keep=p_partkey p_size); n = 0; x = p_size; do while (x > 1); x = x / 2; n = n + 1; if n > 20 then leave; end; m = 0; do until (m >= p_size); m = m + 7; end; odd = 0; do k = 1 to 5; if mod(k, 2) = 0 then continue; odd = odd + k; end; drop k x; run;",
+    "SELECT p_partkey::DOUBLE AS p_partkey, p_size::DOUBLE AS p_size, greatest(0, ceil(log2(p_size)))::DOUBLE AS n, (ceil(greatest(p_size, 1) / 7.0) * 7)::DOUBLE AS m, 9.0::DOUBLE AS odd FROM part")
+program("hash_changes", "nation", "data out(keep=n_nationkey n_regionkey seen total left); length n_regionkey total 8; if _n_ = 1 then do; declare hash h(); h.definekey('n_regionkey'); h.definedata('total'); h.definedone(); end; set nation; if h.find() ne 0 then total = 0; total = total + n_nationkey; h.replace(); seen = (h.check() = 0); left = h.num_items; run;",
+    "SELECT n_nationkey::DOUBLE AS n_nationkey, n_regionkey::DOUBLE AS n_regionkey, 1.0::DOUBLE AS seen, (sum(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey))::DOUBLE AS total, (SELECT count(DISTINCT m.n_regionkey) FROM nation m WHERE m.n_nationkey <= nation.n_nationkey)::DOUBLE AS \"left\" FROM nation")
+program("set_end_nobs", "nation", "data out(keep=n_nationkey rows final); set nation end=last nobs=k; rows = k; final = last; run;",
+    "SELECT n_nationkey::DOUBLE AS n_nationkey, (SELECT count(*) FROM nation)::DOUBLE AS rows, (n_nationkey = (SELECT max(n_nationkey) FROM nation))::INT::DOUBLE AS final FROM nation")
+program("stop_step", "nation", "data out; set nation(keep=n_nationkey); if n_nationkey >= 5 then stop; run;", "SELECT n_nationkey::DOUBLE AS n_nationkey FROM nation WHERE n_nationkey < 5")
+program("lag_expression", "events", "proc sort data=events(keep=event_id value) out=e; by event_id; run; data out; set e; d = value - lag(value); run;",
+    "SELECT event_id::DOUBLE AS event_id, value, round(value - lag(value) OVER (ORDER BY event_id), 6) AS d FROM events", digits=6)
+program("freq_three_way", "lineitem", "proc freq data=lineitem; tables l_returnflag*l_linestatus*l_linenumber / out=out; run; data out; set out; if count > 0; keep l_returnflag l_linestatus l_linenumber count; run;",
+    "SELECT l_returnflag, l_linestatus, l_linenumber::DOUBLE AS l_linenumber, count(*)::DOUBLE AS count FROM lineitem GROUP BY ALL")
+program("sql_outer_union_corr", "nation region", "proc sql; create table out as select n_nationkey as k, n_name as name from nation outer union corr select r_regionkey as k, r_name as region from region; quit;",
+    "SELECT n_nationkey::DOUBLE AS k, n_name AS name, NULL AS region FROM nation UNION ALL SELECT r_regionkey, NULL, r_name FROM region")
+program("sql_dialect", "orders", "proc sql; create table out as select * exclude (o_orderdate, o_custkey, total), total / (o_custkey - o_custkey) as nothing from (select *, o_totalprice as total, strftime(date '2024-01-31', '%Y-%m') as calculated_ from work.orders) qualify row_number() over (partition by o_orderstatus order by o_orderkey) <= 3; quit;",
+    "SELECT o_orderkey::DOUBLE AS o_orderkey, o_orderstatus, o_totalprice, o_orderpriority, NULL::DOUBLE AS nothing, '2024-01' AS calculated_ FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) <= 3")
+program("sql_window_filter", "orders", "proc sql; create table out as select o_orderkey, count(*) filter (where o_totalprice > 100000) over (partition by o_orderstatus) as n, row_number() over (partition by o_custkey order by o_orderkey) as r, quantile_cont(o_totalprice, 0.5) over (partition by o_orderpriority) as q from orders; quit;",
+    "SELECT o_orderkey::DOUBLE AS o_orderkey, count(*) FILTER (WHERE o_totalprice > 100000) OVER (PARTITION BY o_orderstatus)::DOUBLE AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::DOUBLE AS r, round(quantile_cont(o_totalprice, 0.5) OVER (PARTITION BY o_orderpriority), 4) AS q FROM orders", digits=4)
+program("sql_into", "orders", "proc sql noprint; select count(*), max(o_orderkey) into :n, :m from orders; quit; data out; set orders(keep=o_orderkey where=(o_orderkey = &m)); n = &n; run;",
+    "SELECT max(o_orderkey)::DOUBLE AS o_orderkey, count(*)::DOUBLE AS n FROM orders")
+program("macro_loops", "nation", "%global total; %let total = 0; %let i = 0; %macro up(n); %local k; %let k = 1; %do %while (&k <= &n); %let total = %eval(&total + &k); %let k = %eval(&k + 1); %end; %do %until (&i >= 3); %let i = %eval(&i + 1); %end; %put total is &total; %mend; %up(4) data out; set nation(keep=n_nationkey); t = &total; i = &i; h = %sysevalf(7 / 2); u = \"%upcase(ab)%substr(xyz, 2, 1)\"; w = \"%scan(a b c, 2)\"; l = %length(abcd); x = %sysfunc(max(3, 9)); run;",
+    "SELECT n_nationkey::DOUBLE AS n_nationkey, 10.0::DOUBLE AS t, 3.0::DOUBLE AS i, 3.5::DOUBLE AS h, 'ABy' AS u, 'b' AS w, 4.0::DOUBLE AS l, 9.0::DOUBLE AS x FROM nation")
+program("call_symput", "nation", "data _null_; set nation; if n_nationkey = 7 then do; call symput('name', trim(n_name)); call symputx('k', n_nationkey * 2); end; run; data out; set nation(keep=n_nationkey); name = \"&name\"; k = &k; run;",
+    "SELECT n_nationkey::DOUBLE AS n_nationkey, (SELECT n_name FROM nation WHERE n_nationkey = 7) AS name, 14.0::DOUBLE AS k FROM nation")
+program("call_missing", "nation", "data out; set nation(keep=n_nationkey n_name n_regionkey); if n_regionkey = 1 then call missing(n_name, n_regionkey); run;",
+    "SELECT n_nationkey::DOUBLE AS n_nationkey, CASE WHEN n_regionkey = 1 THEN '' ELSE n_name END AS n_name, CASE WHEN n_regionkey = 1 THEN NULL ELSE n_regionkey END::DOUBLE AS n_regionkey FROM nation")
+program("datasets_change", "region", "data a; set region; run; data b; set region; run; proc datasets lib=work; delete b; change a=out; run;", "SELECT r_regionkey::DOUBLE AS r_regionkey, r_name FROM region")
+program("contents_orders", "orders", "proc contents data=orders out=out; run; data out; set out(keep=num name type nobs); run;",
+    "SELECT (row_number() OVER ())::DOUBLE AS num, name, type, (SELECT count(*) FROM orders)::DOUBLE AS nobs FROM (VALUES ('o_orderkey', 'num'), ('o_custkey', 'num'), ('o_orderstatus', 'char'), ('o_totalprice', 'num'), ('o_orderdate', 'num'), ('o_orderpriority', 'char')) v(name, type)")
+program("datalines", "", "data out; input id name $ x; datalines;\n1 ann 2.5\n2 bob .\n3 cat 4\n;\nrun;", "SELECT * FROM (VALUES (1.0::DOUBLE, 'ann', 2.5::DOUBLE), (2.0, 'bob', NULL), (3.0, 'cat', 4.0)) v(id, name, x)")
+program("fcmp_subroutine", "part", "proc fcmp outlib=work.f.p; subroutine halves(x, a, b); outargs a, b; a = x / 2; b = x - a; endsub; function total(v[*]); t = 0; do k = 1 to dim(v); t = t + v[k]; end; return (t); endsub; run; data out; set part(keep=p_partkey p_size); array w[2] w1-w2; a = 0; b = 0; call halves(p_size, a, b); w1 = a; w2 = b * 2; t = total(w); drop w1 w2; run;",
+    "SELECT p_partkey::DOUBLE AS p_partkey, p_size::DOUBLE AS p_size, p_size / 2.0::DOUBLE AS a, p_size / 2.0::DOUBLE AS b, p_size * 1.5::DOUBLE AS t FROM part")
+program("compare_by_transform", "supplier", "data a; set supplier(keep=s_suppkey s_nationkey s_acctbal); run; data b; set a; if mod(s_suppkey, 3) = 0 then s_acctbal = -s_acctbal; if mod(s_suppkey, 5) = 0 then s_acctbal = s_acctbal + 1000000; run; proc compare base=a(where=(s_suppkey > 2)) compare=b out=out criterion=0.001; by s_nationkey; id s_suppkey; transform s_acctbal = abs; run; data out; set out(keep=s_nationkey s_suppkey _var_); run;",
+    "SELECT s_nationkey::DOUBLE AS s_nationkey, s_suppkey::DOUBLE AS s_suppkey, 's_acctbal' AS _var_ FROM (SELECT *, CASE WHEN s_suppkey % 3 = 0 THEN -s_acctbal ELSE s_acctbal END + CASE WHEN s_suppkey % 5 = 0 THEN 1000000 ELSE 0 END AS b FROM supplier) WHERE s_suppkey > 2 AND abs(abs(s_acctbal) - abs(b)) > 0.001")
+program("tabulate_two_classes", "lineitem", "proc tabulate data=lineitem out=out; class l_returnflag l_linestatus l_linenumber; var l_quantity; table l_returnflag*l_linestatus, l_linenumber*l_quantity*(sum); run;",
+    "SELECT l_returnflag, l_linestatus, 'sum' AS _stat_, " + ", ".join(f"sum(l_quantity) FILTER (l_linenumber = {k}) AS \"{k}\"" for k in range(1, 8)) + " FROM lineitem GROUP BY ALL", digits=4)
+program("rank_all_rows", "orders", "proc rank data=orders(keep=o_orderkey o_totalprice) out=out descending; var o_totalprice; ranks r; run;",
+    "SELECT o_orderkey::DOUBLE AS o_orderkey, o_totalprice, rank() OVER (ORDER BY o_totalprice DESC) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0::DOUBLE AS r FROM orders")
+program("sql_asof_all", "events", "proc sql; create table trades as select event_id, user_id, value from events; create table quotes as select event_id as q_id, user_id as q_user, value as q_value from events; create table out as select t.event_id, t.value, q.q_id, q.q_value from trades t asof left join quotes q on t.user_id = q.q_user and t.event_id > q.q_id; quit;",
+    "SELECT event_id::DOUBLE AS event_id, value, (lag(event_id) OVER w)::DOUBLE AS q_id, lag(value) OVER w AS q_value FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
