@@ -118,12 +118,16 @@ class Fit:
 
 
 def regress(ds: Dataset, y: str, xs: list[str], class_: list[str] = (), intercept: bool = True, selection: str | None = None, slstay: float = 0.1, slentry: float = 0.15) -> Fit:
-    """Least squares from one matrix of cross products; selection solves parts of it without another pass."""
+    """Least squares from one matrix of cross products, around the means if there is an intercept; selection solves parts of it without another pass."""
     terms = design(ds, xs, class_)
     df = complete(ds, [y, *(v for x in xs for v in x.split("*"))])
     names = (["intercept"] if intercept else []) + [n for n, _ in terms]
     columns = ([F.lit(1.0)] if intercept else []) + [c for _, c in terms]
-    n, sums, cross = gram(df, [*columns, F.col(y)])
+    measured = [c for _, c in terms] + [F.col(y)]
+    row = df.agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(measured))).head() if intercept else None
+    means = np.array([0.0 if row is None or row[f"m{i}"] is None else row[f"m{i}"] for i in range(len(measured))])
+    n, sums, cross = gram(df, ([F.lit(1.0)] if intercept else []) + [c - F.lit(float(m)) for c, m in zip(measured, means, strict=True)])
+    shift = np.concatenate([[0.0], means[:-1]]) if intercept else means[:-1]
     xtx, xty, yty, ysum = cross[:-1, :-1], cross[:-1, -1], cross[-1, -1], sums[-1]
 
     def solve(idx: list[int]) -> Fit:
@@ -137,7 +141,12 @@ def regress(ds: Dataset, y: str, xs: list[str], class_: list[str] = (), intercep
         mse = sse / dfe if dfe > 0 else math.nan
         dfm = rank - (1 if intercept else 0)
         f = (sst - sse) / dfm / mse if dfm and mse else math.nan
-        return Fit([names[i] for i in idx], [columns[i] for i in idx], beta, inv * mse, dfe, n=n, sse=sse, sst=sst, mse=mse, r2=1 - sse / sst if sst else math.nan, f=f, p_f=dist.f_upper(f, dfm, dfe) if dfm and f == f else math.nan, xtx=a)
+        back = np.eye(len(idx))  # from around the means to around zero
+        if intercept:
+            back[0] -= shift[idx]
+            beta = back @ beta
+            beta[0] += means[-1]
+        return Fit([names[i] for i in idx], [columns[i] for i in idx], beta, back @ inv @ back.T * mse, dfe, n=n, sse=sse, sst=sst, mse=mse, r2=1 - sse / sst if sst else math.nan, f=f, p_f=dist.f_upper(f, dfm, dfe) if dfm and f == f else math.nan, xtx=a)
 
     fixed = [0] if intercept else []
     rest = [i for i in range(len(names)) if i not in fixed]

@@ -47,6 +47,8 @@ class Dataset:
     order: list[tuple[str, bool]] = field(default_factory=list)
     formats: dict[str, str] = field(default_factory=dict)
     labels: dict[str, str] = field(default_factory=dict)
+    #: The rows as they are scanned, before they get their order; only as long as nothing else has been done to them.
+    scan: DataFrame | None = None
 
     @property
     def columns(self) -> list[str]:
@@ -68,6 +70,13 @@ class Dataset:
     def ordered(self) -> DataFrame:
         return self.df.orderBy(*self.sort_columns()).select(*(f"`{c}`" for c in self.columns)) if self.order else self.visible()
 
+    def filtered(self, test: Column) -> Dataset:
+        """The rows that pass; below the order of rows that are scanned, so that the test reaches the scan."""
+        if self.scan is None:
+            return self.with_df(self.df.where(test))
+        rows = self.scan.where(test)
+        return Dataset(rows.withColumn("__o0", F.monotonically_increasing_id()), list(self.order), dict(self.formats), dict(self.labels), rows)
+
     def with_df(self, df: DataFrame) -> Dataset:
         return Dataset(df, self.order, dict(self.formats), dict(self.labels))
 
@@ -95,7 +104,8 @@ def from_frame(df: DataFrame, lower: bool = True, nan: bool = True) -> Dataset:
         columns.append(to_value(df[f"`{f.name}`"], kind, nan).col.alias(name))
         if kind in DATE_FORMATS:
             formats[name] = DATE_FORMATS[kind]
-    return Dataset(df.select(*columns, F.monotonically_increasing_id().alias("__o0")), [("__o0", True)], formats)
+    rows = df.select(*columns)
+    return Dataset(rows.withColumn("__o0", F.monotonically_increasing_id()), [("__o0", True)], formats, {}, rows)
 
 
 def numbered(ds: Dataset) -> Dataset:

@@ -45,7 +45,7 @@ def limited(ds: Dataset, firstobs: int | None, obs: int | None) -> Dataset:
 def with_options(ds: Dataset, ref: Ref, formats: dict | None = None) -> Dataset:
     """Input options: where, rows, keep, drop, rename."""
     if ref.where is not None:
-        ds = ds.with_df(ds.df.where(Lowering(ds.val, formats).filter(ref.where)))
+        ds = ds.filtered(Lowering(ds.val, formats).filter(ref.where))
     ds = limited(ds, ref.firstobs, ref.obs)
     columns = ds.columns
     if ref.keep is not None:

@@ -52,7 +52,7 @@ class Spec:
         ds = sources.with_options(self.session.dataset(ref.name), ref, self.session.formats)
         where = self.cursor("where")
         if where is not None:
-            ds = ds.with_df(ds.df.where(Lowering(ds.val, self.session.formats).filter(where.expression())))
+            ds = ds.filtered(Lowering(ds.val, self.session.formats).filter(where.expression()))
         return sources.limited(ds, *(int(v) if v else None for v in (self.options.get("firstobs"), self.options.get("obs"))))
 
     def names(self, word: str, ds: Dataset | None = None) -> list[str]:

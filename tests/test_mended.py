@@ -89,3 +89,29 @@ def test_transpose_of_repeated_ids_takes_the_last(session):
 def test_contents_counts_rows(session):
     session.run("data a; do x = 1 to 7; output; end; run; proc contents data=a out=o; run;")
     assert {r["nobs"] for r in session.frame("o").select(F.col("nobs")).collect()} == {7.0}
+
+
+def test_option_filters_reach_the_scan_where_order_counts(spark, session):
+    session.parquet("/root/testdata/sf0.001", "orders")
+    session.run("data big; set orders(where=(o_totalprice > 200000) keep=o_orderkey o_custkey o_totalprice); by o_custkey notsorted; if first.o_custkey then t = 0; t + o_totalprice; run;")
+    from rowloom.language.ast import Ref
+    from rowloom.plans import sources
+
+    ds = session.dataset("orders").filtered(F.col("o_totalprice") > 200000)
+    plan = ds.df.select("o_orderkey", "__o0")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(o_totalprice,200000.0)" in plan and "o_orderpriority" not in plan.split("ReadSchema")[1]
+    assert sources.with_options(session.dataset("orders"), Ref("orders", obs=3)).df.count() == 3
+
+
+def test_regression_with_large_means(session):
+    import numpy as np
+
+    from rowloom.operators import stats
+
+    session.run("data a; do i = 1 to 50; x = 1000000000 + i; y = 3 * i + mod(i * 7, 5) + 5000000000; output; end; run;")
+    fit = stats.regress(session.dataset("a"), "y", ["x"])
+    i = np.arange(1, 51)
+    y = 3 * i + i * 7 % 5
+    slope, level = np.polyfit(i, y, 1)
+    assert fit.beta[1] == pytest.approx(slope, rel=1e-9) and fit.more["sse"] == pytest.approx(((y - slope * i - level) ** 2).sum(), rel=1e-6)
+    assert fit.beta[0] == pytest.approx(level + 5e9 - slope * 1e9, rel=1e-9)
