@@ -206,18 +206,18 @@ for _name, _f in {"sin": F.sin, "cos": F.cos, "tan": F.tan, "atan": F.atan}.item
     FUNCTIONS[_name] = lambda x, f=_f: _d(f(_n(x)))
 
 
-def _array(args: tuple[Val, ...]) -> Column:
-    return F.filter(F.array(*map(_n, args)), lambda x: x.isNotNull())
-
-
 @register("n")
 def _count(*args: Val) -> Val:
-    return _d(F.size(_array(args)))
+    there = [_n(a).isNotNull().cast("int") for a in args]
+    total = there[0]
+    for t in there[1:]:
+        total = total + t
+    return _d(total)
 
 
 @register("nmiss")
 def _nmiss(*args: Val) -> Val:
-    return _d(F.lit(len(args)) - F.size(_array(args)))
+    return _d(F.lit(len(args)) - _count(*args).col)
 
 
 @register("sum")
@@ -244,17 +244,19 @@ def _max(*args: Val) -> Val:
     return _d(F.greatest(*map(_n, args)) if len(args) > 1 else _n(args[0]))
 
 
-@register("std")
-def _std(*args: Val) -> Val:
-    n, mean = _count(*args).col, _mean(*args).col
-    squares = [F.coalesce((_n(a) - mean) * (_n(a) - mean), F.lit(0.0)) for a in args]
-    total = squares[0]
-    for s in squares[1:]:
-        total = total + s
-    return _d(F.when(n > 1, F.sqrt(total / (n - 1))))
+@register("var")
+def _var(*args: Val) -> Val:
+    """Around the first value that is there, so that large values do not cancel; the expression stays small."""
+    columns = [_n(a) for a in args]
+    first, n = F.coalesce(*columns), _count(*args).col
+    away = [F.coalesce(c - first, F.lit(0.0)) for c in columns]
+    total, squares = away[0], away[0] * away[0]
+    for x in away[1:]:
+        total, squares = total + x, squares + x * x
+    return _d(F.when(n > 1, F.greatest((squares - total * total / n) / (n - 1), F.lit(0.0))))
 
 
-FUNCTIONS["var"] = lambda *args: _d(_std(*args).col * _std(*args).col)
+FUNCTIONS["std"] = lambda *args: _d(F.sqrt(_var(*args).col))
 FUNCTIONS["range"] = lambda *args: _d(_max(*args).col - _min(*args).col)
 
 

@@ -22,10 +22,11 @@ def statistic(name: str, v: str | Column, alpha: float = 0.05) -> Column:
     simple = {"n": lambda: F.count(x).cast("double"), "nmiss": lambda: F.count(F.when(x.isNull(), 1)).cast("double"), "mean": lambda: F.avg(x), "std": lambda: F.stddev_samp(x), "stddev": lambda: F.stddev_samp(x), "var": lambda: F.var_samp(x), "min": lambda: F.min(x), "max": lambda: F.max(x), "sum": lambda: F.sum(x), "range": lambda: F.max(x) - F.min(x), "stderr": lambda: F.stddev_samp(x) / F.sqrt(F.count(x)), "cv": lambda: 100 * F.stddev_samp(x) / F.avg(x), "uss": lambda: F.sum(x * x), "css": lambda: F.var_samp(x) * (F.count(x) - 1)}
     if name in simple:
         return simple[name]()
-    if name in PERCENTILES:
-        return F.percentile(x, PERCENTILES[name])
-    if name == "qrange":
-        return F.percentile(x, 0.75) - F.percentile(x, 0.25)
+    if name in PERCENTILES or name == "qrange":
+        # one aggregate for all of them, as the same expression is worked out once
+        all_ = F.percentile(x, sorted(set(PERCENTILES.values())))
+        at = {p: all_[i] for i, p in enumerate(sorted(set(PERCENTILES.values())))}
+        return at[0.75] - at[0.25] if name == "qrange" else at[PERCENTILES[name]]
     if name == "skew":
         n = F.count(x)
         return F.when(n > 2, F.skewness(x) * F.sqrt(n * (n - 1.0)) / (n - 2))
