@@ -6,7 +6,9 @@ begin with, whether a blank line stands before, their length, how they begin and
 counted on a bounded sample of transcripts whose turns are known, with add-one smoothing; Viterbi finds the likeliest states,
 and each first line opens a turn. Canonical turns are <|role|>, the text without its marker, and <|end|>, line by line.
 
-Null and empty transcripts have no turns and render as the empty text.
+Null and empty transcripts have no turns and render as the empty text. A very long transcript is decoded whole, in memory in
+proportion to its lines. Tables without rows give none (and train a model of the smoothing alone); further columns of
+turns are not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ consecutive words of a benchmark item, or a shorter item as a whole.
 What the benchmark side sends is, for each probe, the item's words up to a window away from it. It is broadcast only if it
 is measured to have at most BROADCAST_ROWS rows and BROADCAST_BYTES bytes; else both sides are shuffled by word, and places
 that are found go back to their texts by document.
-Null texts have no words. Items without words or id are left out. Documents without id come out without hits; rows that
+A very long text's words are one array, of which each place that an item's rare word has takes a window along. Of terms that
+are equally rare the first in alphabetical order is the probe. Tables without rows, of either kind, give no hits; further
+columns are not looked at, whatever their names. Null texts have no words. Items without words or id are left out. Documents without id come out without hits; rows that
 share an id share their hits.
 """
 

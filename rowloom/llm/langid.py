@@ -4,6 +4,9 @@ Each language has a variable-order byte context tree with escape probabilities (
 of labelled texts and then frozen. A text's exact code length under each tree is the sum over its lower-cased words, whose
 contexts begin at the word's start; the language of the shortest code is predicted. As a word always has the same length
 under frozen statistics, workers keep the lengths of words that they have seen.
+
+A very long text is scored whole; what is held for it is its words. Rows that repeat come out as often as they come in, each with the same result; tables without rows give none; further
+columns of docs are not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,6 +6,9 @@ each chunk, and the means and maxima over all chunks go through a logistic unit
 document counts, however long it is; memory is bounded by the pieces that are worked on at a time.
 
 The network is trained on the driver from at most `per_class` labelled texts of each class, which a hash picks.
+
+Rows that repeat come out as often as they come in, each with the same result; tables without rows give none; further
+columns of docs are not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,6 +10,9 @@ Skew: a task sends every distinct super-k-mer once, with the smallest document t
 with the same one are settled on the spot. So however many copies a passage has, its bucket gets at most one string from
 each task. Minimisers are ``mini`` words long, which keeps frequent words from drawing windows to one bucket.
 Super-k-mers of a task travel compressed, one blob for each bucket.
+
+A very long text is taken whole: its words are held once, and its super-k-mers leave the task as they fill a blob. Tables
+without rows give none; further columns of docs are not looked at, whatever their names.
 """
 
 from __future__ import annotations
