@@ -233,7 +233,7 @@ def run_sql(session, text: str) -> None:
             rows = query(session, statement[: found.start()] + statement[found.end() :], names).collect()
             targets = [found[1], *re.findall(r":\s*(\w+)", found[2])]
             for k, t in enumerate(targets):
-                cells = ["" if r[k] is None else f"{r[k]:g}" if isinstance(r[k], float) else str(r[k]) for r in rows]
+                cells = ["" if r[k] is None else _digits(r[k]) if isinstance(r[k], float) else str(r[k]) for r in rows]
                 session.macro.set(t, (found[4].join(cells) if found[3] else cells[0]) if cells else "", glob=True)
             continue
         session.show("Query", query(session, statement, names))
@@ -245,6 +245,11 @@ def _name(text: str) -> str:
     return dataset_name(text.split("."))
 
 
+def _digits(x: float) -> str:
+    """All digits of a number, for it may be a key that is looked up."""
+    return str(int(x)) if x.is_integer() and abs(x) < 1e15 else repr(x)
+
+
 def query(session, text: str, names: list[str]) -> DataFrame:
     found = re.match(r"(.*?)\bouter\s+union\s+corr(?:responding)?\b(.*)$", text, re.IGNORECASE | re.DOTALL) or re.match(r"(.*?)\bunion\s+all\s+by\s+name\b(.*)$", text, re.IGNORECASE | re.DOTALL)
     if found:

@@ -57,6 +57,14 @@ def test_sql_nulls_go_last_and_window_filter(session):
     assert sorted(rows(session, "o", "r", "x", "s")) == [(1, 1.0, 2.0), (2, 2.0, 2.0), (3, 3.0, 3.0), (4, None, 3.0)]
 
 
+def test_sql_into_keeps_all_digits(session):
+    session.run("data a; do k = 8999990 to 8999999; v = k + 1 / 3; output; end; v = 0.1 + 0.2; k = 1e16; output; run; proc sql noprint; select max(k), max(v), min(v) into :m, :v, :w from a where k < 1e15; select max(k), min(v) into :b, :s from a; quit;")
+    session.run("data o; set a; if k = &m or k = &b; same = v in (&v, &s); run;")
+    assert sorted(rows(session, "o", "k", "same")) == [(8999999.0, 1.0), (1e16, 1.0)]
+    session.run("proc sql noprint; select k into :all separated by ',' from a where k > 8999997 and k < 1e15; quit;")
+    assert sorted(session.macro.get("all").split(",")) == ["8999998", "8999999"]
+
+
 def test_rank_without_groups(session, spark):
     session.run("data a; input x; datalines;\n10\n30\n20\n30\n.\n;\nrun; proc rank data=a out=o descending; var x; ranks r; run; proc rank data=a out=g groups=2; var x; ranks r; run;")
     assert sorted(rows(session, "o", "x", "r"), key=str) == sorted([(10.0, 4.0), (30.0, 1.5), (20.0, 3.0), (30.0, 1.5), (None, None)], key=str)
